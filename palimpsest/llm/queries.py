@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import groups
+from palimpsest.llm import groups, packing, tokens
 from palimpsest.sources.tables import table
 
 
@@ -12,7 +12,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.entity_groups(table(spark, folder, "merge_logs"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found,)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.token_counts(table(spark, folder, "documents"))
+    placed = packing.containers(sizes, packing.window_sizes(table(spark, folder, "context_windows")))
+    return placed.withColumnsRenamed({"item": "doc_id", "size": "n_tokens"})
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder).withColumnRenamed("n_tokens", "size"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_fill)}
 
 _B = r"chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
 
