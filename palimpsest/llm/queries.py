@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import groups, packing, tokens
+from palimpsest.llm import groups, looks, packing, tokens
 from palimpsest.sources.tables import table
 
 
@@ -12,6 +12,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.entity_groups(table(spark, folder, "merge_logs"))
 
 
+def _fields(spark: SparkSession, folder: str) -> DataFrame:
+    return looks.text_fields(table(spark, folder, "identity_drafts"), table(spark, folder, "observations"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return looks.look_alike_pairs(_fields(spark, folder))
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return looks.doubles(_fields(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"))
 
@@ -26,7 +38,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, folder).withColumnRenamed("n_tokens", "size"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p6_ids, p7_containers, p7_fill)}
 
 _B = r"chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
 
