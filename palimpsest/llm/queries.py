@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import groups, looks, packing, tokens
+from palimpsest.llm import groups, looks, packing, tokens, truncation
 from palimpsest.sources.tables import table
 
 
@@ -38,7 +38,16 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, folder).withColumnRenamed("n_tokens", "size"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.judged_documents(table(spark, folder, "documents")).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return truncation.cut_shares(documents, truncation.judged_documents(documents))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_sources)}
 
 _B = r"chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
 
