@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import groups, looks, packing, tokens, truncation
+from palimpsest.llm import groups, looks, names, packing, tokens, truncation
 from palimpsest.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(table(spark, folder, "identity_drafts"), table(spark, folder, "name_aliases"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.entity_groups(table(spark, folder, "merge_logs"))
 
@@ -47,7 +51,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_shares(documents, truncation.judged_documents(documents))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_sources)}
 
 _B = r"chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
 
