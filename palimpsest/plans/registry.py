@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import control_queries, graph_queries, recall_queries, record_queries
+from palimpsest.plans import control_queries, graph_queries, recall_queries, record_queries, write_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [record_queries, control_queries, recall_queries, graph_queries]
+_MODULES = [record_queries, control_queries, recall_queries, graph_queries, write_queries]
 
 
 def queries() -> dict[str, Query]:
