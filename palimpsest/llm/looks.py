@@ -17,6 +17,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.checkpoints import materialise
 from palimpsest.functions.ids import clean_id
 
 #: Letters of other scripts and the Latin letter (or sign) that they look like, as pairs.
@@ -146,6 +147,7 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
         .join(look_classes(records).select("digest", _digest(F.col("canonical")).alias("look")), "digest")
         .distinct()
     )
+    spelled = materialise(spelled, "spellings")  # read four times below, and small: only values with a double
     spellings = spelled.select(*known, "look", "digest").distinct()
     one = spellings.withColumnRenamed("digest", "digest_a")
     other = spellings.withColumnRenamed("digest", "digest_b")
