@@ -144,7 +144,7 @@ def rendered_scope(template: Column, run_id: Column, execution_id: Column, case_
 
 def fact_variants(fact: Column) -> Column:
     """Variants of a required fact, separated by double bars; blank ones are left out."""
-    return F.filter(F.transform(F.split(F.coalesce(fact, F.lit("")), r"\|\|"), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(fact, F.lit("")), r"\|\|"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def merged_uncertainties(first: Column, second: Column) -> Column:
