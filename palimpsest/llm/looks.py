@@ -31,9 +31,9 @@ LOOK_ALIKES = """
 ‐- ‑- ʼ’ ʻ‘ ⁄/ ∕/
 """
 #: Format characters that are visible, so they stay.
-VISIBLE_FORMATS = "؀؁؂؃؄؅۝܏࣢"
+VISIBLE_FORMATS = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u08e2"
 #: Characters without any look of their own outside the format category.
-INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
 
 
 @cache
