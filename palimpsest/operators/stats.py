@@ -22,7 +22,9 @@ def llm_usage(runs: DataFrame, since: float | None = None) -> DataFrame:
         runs = runs.where(F.col("created_at") >= since)
     sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in TOKEN_COLUMNS]
     grouped = runs.groupingSets([[], ["worker_type"]], "worker_type").agg(F.count("*").alias("n_runs"), *sums, F.grouping("worker_type").alias("whole"))
-    grouped = grouped.select("worker_type", "whole", "n_runs", *[F.coalesce(c, F.lit(0)).alias(c) for c in TOKEN_COLUMNS])
+    nothing = "SELECT CAST(NULL AS STRING) AS worker_type, 0L AS n_runs, 0L AS input_tokens, 0L AS output_tokens, 0L AS cached_tokens, CAST(1 AS TINYINT) AS whole"
+    grouped = grouped.unionByName(runs.sparkSession.sql(nothing))  # the total of no runs is a row of zeros
+    grouped = grouped.groupBy("worker_type", "whole").agg(*[F.sum(c).alias(c) for c in ("n_runs", *TOKEN_COLUMNS)])
     return grouped.select("*", hit_rate())
 
 
