@@ -129,7 +129,7 @@ def orphan_edge_ends(edges: DataFrame, memories: DataFrame, observations: DataFr
             "side",
             "state",
             "ref_table",
-            F.date_format(F.timestamp_seconds(F.col("at")), "yyyy-MM").alias("edge_month"),
+            F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("at") / 86_400).cast("int")), "yyyy-MM").alias("edge_month"),
         )
     )
 

@@ -54,6 +54,7 @@ def _choice(values: list[str], at: Column) -> Column:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without a zone are in UTC
     k = F.get_json_object("props", "$.k").cast("int")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)
     return table(spark, folder, "events").withColumns({"k": k, "at": at, "memory_space": F.concat(F.lit("space_"), F.col("user_id").cast("string"))})
