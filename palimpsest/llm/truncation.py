@@ -31,8 +31,12 @@ SHINGLE_WORDS = 5
 SIMILAR = 0.8
 #: 20 bands of 5 values: a pair at similarity 0.8 meets in some band with a chance of 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Different texts in one bucket up to which all pairs of it are verified; beyond, each text is compared with the bucket's centres.
+#: Different texts in one bucket up to which its pairs are made by a join; a larger bucket is cut into blocks, and all blocks are compared.
 BUCKET_PAIRS = 64
+#: Texts, and shingles of all its texts, that one block of a large bucket holds on average.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 500_000
+#: Columns of the 0/1 matrices that are multiplied to count what texts have in common.
+COUNTED = 4_096
 #: A length is a ceiling if this many different texts of a source have it, and so many times what lengths around it lead to expect.
 CEILING_TEXTS, CEILING_TIMES = 6, 6
 #: A limit leaves at most this share of a source's texts longer (it may hold for some time, or some records, only).
@@ -300,24 +304,104 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(flat)], names=["doc", "n", "band"])
 
 
+def flattened(lists: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, rows, sizes) of lists of 64-bit numbers: ``rows`` has the number of the list that each value is in."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many values each row of ``a`` has in common with each row of ``b``, both as (values, rows) without repeats in a row."""
+    known = np.intersect1d(a[0], b[0])
+    out = np.zeros(shape, np.float32)
+
+    def placed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(known, values)
+        found = at < len(known)
+        found[found] = known[at[found]] == values[found]
+        order = np.argsort(at[found], kind="stable")
+        return at[found][order], rows[found][order]
+
+    if len(known):
+        (at_a, rows_a), (at_b, rows_b) = placed(*a), placed(*b)
+        for low in range(0, len(known), COUNTED):
+            width = min(COUNTED, len(known) - low)
+            sides = []
+            for at, rows, n in ((at_a, rows_a, shape[0]), (at_b, rows_b, shape[1])):
+                lo, hi = np.searchsorted(at, [low, low + width])
+                side = np.zeros((n, width), np.float32)
+                side[rows[lo:hi], at[lo:hi] - low] = 1
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+    return out
+
+
+def goes_on_by(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row of ``a`` and of ``b`` the shingles that b has after the last but one of a; -1 if b does not have that."""
+    ends = np.cumsum(a[2])
+    out = np.full((len(a[2]), len(b[2])), -1, np.int64)
+    long = np.flatnonzero(a[2] > 1)
+    keys, key_of = np.unique(a[0][ends[long] - 2], return_inverse=True)
+    if not len(keys):
+        return out
+    at = np.minimum(np.searchsorted(keys, b[0]), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == b[0])
+    rows = b[1][hit]
+    after = np.full((len(keys), len(b[2])), -1, np.int64)
+    after[at[hit], rows] = np.cumsum(b[2])[rows] - hit - 2
+    # a text that ends with that shingle has -1 after it, as one less than nothing; keep it apart from "not found"
+    after[at[hit], rows] = np.where(after[at[hit], rows] < 0, -2, after[at[hit], rows])
+    out[long] = after[key_of]
+    return out
+
+
+def compare_blocks(cell: pa.Table) -> pa.Table:
+    """(a, b, a_short, b_short): the verified pairs of one cell (band, i, j, block, doc, shingles, small, large) of a large bucket.
+
+    Each text of block i meets each text of block j. A pair that also meets in a small bucket is left to that; one that meets
+    in several large ones, to the lowest of them.
+    """
+    band, i, j = (cell[c][0].as_py() for c in ("band", "i", "j"))
+    block = cell["block"].to_numpy()
+    sides = []
+    for k in (i, j):
+        own = cell.filter(pa.array(block == k))
+        small, large = flattened(own["small"]), flattened(own["large"])
+        lower = large[0] < band
+        before = (np.concatenate([small[0], large[0][lower]]), np.concatenate([small[1], large[1][lower]]))
+        sides.append((own["doc"].to_numpy(), before, flattened(own["shingles"])))
+    (doc_a, before_a, a), (doc_b, before_b, b) = sides
+    shape = (len(doc_a), len(doc_b))
+    meet = common_counts(before_a, before_b, shape) == 0
+    if i == j:
+        meet &= doc_a[:, None] < doc_b[None, :]
+    x = y = np.zeros(0, np.int64)
+    if meet.any():
+        common = common_counts(a[:2], b[:2], shape).astype(np.float64)
+        x, y = np.nonzero(meet & (common >= SIMILAR * (a[2][:, None] + b[2][None, :] - common)))
+    columns = [doc_a[x], doc_b[y]]
+    shorts = [np.zeros(0, np.int64)] * 2 if not len(x) else [goes_on_by(a, b)[x, y], goes_on_by(b, a)[y, x]]
+    swap = columns[0] > columns[1]
+    columns = [np.where(swap, columns[1], columns[0]), np.where(swap, columns[0], columns[1])]
+    shorts = [np.where(swap, shorts[1], shorts[0]), np.where(swap, shorts[0], shorts[1])]
+    shorts = [pa.array(np.where(v == -2, -1, v).astype(np.int32), mask=v == -1) for v in shorts]
+    return pa.Table.from_arrays([*map(pa.array, columns), *shorts], names=["a", "b", "a_short", "b_short"])
+
+
 def near_copies(texts: DataFrame) -> DataFrame:
     """(a, b, a_short, b_short): verified pairs among different texts (doc, shingles), by similarity of their shingle sets.
 
     ``a_short``: shingles that b has after the place where a ends, null if a's end is not found in b; ``b_short`` likewise.
-    Buckets of up to ``BUCKET_PAIRS`` texts give all their pairs; in a larger one every text meets three centres (the one with
-    most shingles, the smallest and the largest id), so no bucket's work grows with its square.
+    All pairs that meet in a bucket are verified. Buckets of up to ``BUCKET_PAIRS`` texts make theirs by a join; a larger one is
+    cut into blocks, each pair of which is one group of rows of bounded size, whatever the size of the bucket.
     """
     banded = materialise(texts.select("doc", "shingles").mapInArrow(band_rows, "doc long, n int, band long"), "bands")
-    buckets = banded.groupBy("band").agg(
-        F.count("*").alias("many"), F.max(F.struct("n", "doc"))["doc"].alias("longest"), F.min("doc").alias("lowest"), F.max("doc").alias("highest")
-    )
+    buckets = banded.groupBy("band").agg(F.count("*").alias("many"), F.sum(F.col("n").cast("long")).alias("total"))
     buckets = materialise(buckets.where("many > 1"), "buckets")
     few = banded.join(buckets.where(F.col("many") <= BUCKET_PAIRS).select("band"), "band").select("band", "doc")
-    pairs = few.join(few.withColumnRenamed("doc", "other"), "band").where("doc < other").select("doc", "other")
-    hot = banded.join(buckets.where(F.col("many") > BUCKET_PAIRS), "band")
-    stars = hot.select("doc", F.explode(F.array("longest", "lowest", "highest")).alias("other")).where("doc <> other")
-    stars = stars.select(F.least("doc", "other").alias("doc"), F.greatest("doc", "other").alias("other"))
-    pairs = pairs.unionByName(stars).distinct()
+    pairs = few.join(few.withColumnRenamed("doc", "other"), "band").where("doc < other").select("doc", "other").distinct()
     one = texts.select(F.col("doc"), F.col("shingles").alias("s_a"))
     other = texts.select(F.col("doc").alias("other"), F.col("shingles").alias("s_b"))
     both = pairs.join(one, "doc").join(other, "other")
@@ -326,9 +410,22 @@ def near_copies(texts: DataFrame) -> DataFrame:
 
     def goes_on(a: str, b: str) -> Column:
         at = F.array_position(b, F.try_element_at(a, F.lit(-2)))  # the last shingle but one: the last word may be broken
-        return F.when((F.size(a) > 1) & (at > 0), F.size(b) - at - 1)
-
-    return close.select(F.col("doc").alias("a"), F.col("other").alias("b"), goes_on("s_a", "s_b").alias("a_short"), goes_on("s_b", "s_a").alias("b_short"))
+        return F.when((F.size(a) > 1) & (at > 0), (F.size(b) - at - 1).cast("int"))
+
+    out = close.select(F.col("doc").alias("a"), F.col("other").alias("b"), goes_on("s_a", "s_b").alias("a_short"), goes_on("s_b", "s_a").alias("b_short"))
+    large = buckets.where(F.col("many") > BUCKET_PAIRS)
+    if large.isEmpty():
+        return out
+    hot = materialise(banded.join(large, "band").select("doc", "band", "many", "total"), "hot")
+    met = hot.groupBy("doc").agg(F.collect_list("band").alias("large"))
+    met = met.join(few.groupBy("doc").agg(F.collect_list("band").alias("small")), "doc", "left")
+    met = met.select("doc", "large", F.coalesce("small", F.array().cast("array<long>")).alias("small"))
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    cells = hot.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc")
+    cells = cells.join(met, "doc").join(texts.select("doc", "shingles"), "doc").select("band", "i", "j", "block", "doc", "shingles", "small", "large")
+    return out.unionByName(cells.groupBy("band", "i", "j").applyInArrow(compare_blocks, "a long, b long, a_short int, b_short int"))
 
 
 # --- all evidence ----------------------------------------------------------------------------------------------------------

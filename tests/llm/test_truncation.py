@@ -1,6 +1,9 @@
 import random
+from collections import defaultdict
 from datetime import datetime
 
+import pyarrow as pa
+
 from palimpsest.llm import truncation as t
 
 SCHEMA = "doc_id long, text string, source string, captured_at timestamp, words string"
@@ -72,3 +75,41 @@ def test_near_copies_match_brute_force(spark):
 def test_classes():
     assert t.classes("Ann paid 12.50 for REQ-4x, see https://a.b/c #tag\n\nEND 世界") == ["Xx", "paid", "0", "for", "ID", ",", "see", "URL", "TAG", "¶", "END", "世", "界"]
     assert t.classes("") == []
+
+
+def family(n: int):
+    """``n`` texts of one template with their own fields, and a cut copy of each: all share buckets, few are near another member."""
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        w = list(template)
+        for k in (100, 106, 112, 118):
+            w[k] = f"f{rnd.randrange(10_000)}x{i}"
+        texts.append(" ".join(w))
+        texts.append(" ".join(w[: rnd.randrange(108, 116)]))
+    return texts
+
+
+def test_pairs_of_a_large_family_match_brute_force(spark, monkeypatch):
+    texts = family(200)
+    sets = [[tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)] for x in texts]
+    held = [set(s) for s in sets]
+    after = lambda s, o: len(o) - o.index(s[-2]) - 2 if s[-2] in o else None
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), t.shingled(texts)[1]], names=["doc", "shingles"])
+    bands = defaultdict(set)
+    for rows_ in t.band_rows(iter([batch])):
+        for doc, band in zip(rows_["doc"].to_pylist(), rows_["band"].to_pylist(), strict=True):
+            bands[doc].add(band)
+    want = {}
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            n = len(held[i] & held[j])
+            if bands[i] & bands[j] and n >= 0.8 * (len(held[i]) + len(held[j]) - n):
+                want[i, j] = (after(sets[i], sets[j]), after(sets[j], sets[i]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, look string")
+    shingled = df.mapInArrow(t.shingle_rows, "doc long, words long, shingles array<long>").select("doc", "shingles")
+    for texts_of_block in (1_000, 70):  # one block a bucket, and several
+        monkeypatch.setattr(t, "BLOCK_TEXTS", texts_of_block, raising=False)
+        got = [((r.a, r.b), (r.a_short, r.b_short)) for r in t.near_copies(shingled).collect()]
+        assert len(got) == len(set(got)) and dict(got) == want
