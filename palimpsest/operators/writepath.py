@@ -212,11 +212,47 @@ def merge_candidates(pairs: DataFrame, entities: DataFrame, known_tasks: DataFra
     return out if known_tasks is None else out.join(known_tasks.select("memory_space", "dedupe_key"), ["memory_space", "dedupe_key"], "left_anti").select("memory_space", "entity_a", "entity_b", "dedupe_key")
 
 
+def survivors(merges: DataFrame) -> DataFrame:
+    """(memory_space, entity_key, survivor) of every source of merges (memory_space, source, target, and the time ``at`` where the
+    log has one): the entity that it is part of after all of them.
+
+    Of several targets of a source the first in time counts, then the smallest; a merge of an entity with itself is none. Chains
+    are followed to their end by pointer doubling; the smallest key of a cycle survives, and has no row. Only counts reach the driver.
+    """
+    key = ["memory_space", "entity_key"]
+    at = F.col("at") if "at" in merges.columns else F.lit(0.0)
+    first = F.min(F.struct(at.isNull().alias("late"), at.alias("at"), "target"))["target"]
+    to = merges.where("source <> target").groupBy("memory_space", F.col("source").alias("entity_key")).agg(first.alias("to"))
+    step = materialise(to.withColumn("low", F.col("to")), "survivors")  # low: the smallest key that the pointer passed or reached
+    sources = step.select("memory_space", F.col("entity_key").alias("to"))
+    left, steps = step.join(sources, ["memory_space", "to"], "left_semi").count(), 1
+    while left:
+        ahead = step.select("memory_space", F.col("entity_key").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low"))
+        step = step.join(ahead, ["memory_space", "to"], "left").select(*key, F.coalesce("__to", "to").alias("to"), F.least("low", "__low").alias("low"))
+        step, steps = materialise(step, "survivors"), 2 * steps
+        before, left = left, step.join(sources, ["memory_space", "to"], "left_semi").count()
+        if left == before and steps >= left:  # all that are left lead into cycles, and their pointers are on them
+            break
+    cycles = step.select("memory_space", F.col("entity_key").alias("to"), F.col("low").alias("__low"))
+    out = step.join(cycles, ["memory_space", "to"], "left").select(*key, F.coalesce("__low", "to").alias("survivor"))
+    return out.where("entity_key <> survivor")
+
+
 def merged_entities(memories: DataFrame, entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(memories, entities) after merges (memory_space, source, target): all memories of a source belong to its target, sources
-    are gone. Of several targets the smallest counts; a merge of an entity with itself is none. Chains need one call a link, or
-    groups whose targets are final."""
+    """(memories, entities) after all merges (memory_space, source, target, at): the memories of a source belong to its survivor,
+    see ``survivors``; entities that did not survive are gone."""
+    to = materialise(survivors(merges), "merged")
+    return _repointed(memories, entities, to.withColumnRenamed("survivor", "__to"))
+
+
+def merged_one_link(memories: DataFrame, entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, entities) after one link of each source only, to its smallest target; a target that is a source itself is gone,
+    too, so this is right only for merges whose targets are final."""
     to = merges.where("source <> target").groupBy("memory_space", F.col("source").alias("entity_key")).agg(F.min("target").alias("__to"))
+    return _repointed(memories, entities, to)
+
+
+def _repointed(memories: DataFrame, entities: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = memories.join(to, ["memory_space", "entity_key"], "left").withColumn("entity_key", F.coalesce("__to", "entity_key"))
     return moved.select(*memories.columns), entities.join(to.select("memory_space", "entity_key"), ["memory_space", "entity_key"], "left_anti").select(*entities.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import clean_id
@@ -146,8 +146,9 @@ def v_profile_gate(spark: SparkSession, d: str) -> DataFrame:
     return both.select("entity_key", "draft_id", F.col("verdict.risk").alias("risk"), state["profile_revision"].alias("profile_revision"))
 
 
-def _merges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "merge_logs").select("memory_space", clean_id("source_entity_key").alias("source"), clean_id("target_entity_key").alias("target")).dropna()
+def _merges(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    ends = ["memory_space", clean_id("source_entity_key").alias("source"), clean_id("target_entity_key").alias("target")]
+    return table(spark, d, "merge_logs").select(*ends, *more).dropna(subset=["memory_space", "source", "target"])
 
 
 _TO = f"""l AS (SELECT memory_space, {ident("source_entity_key")} AS s, {ident("target_entity_key")} AS t FROM merge_logs),
@@ -156,7 +157,17 @@ to_ AS (SELECT memory_space, s AS entity_key, min(t) AS target FROM l WHERE s IS
 
 @query(over("m_", "e_") + f", {_TO} SELECT memory_id AS id, coalesce(target, entity_key) AS entity_key FROM m_ LEFT JOIN to_ USING (memory_space, entity_key) UNION ALL SELECT 'entity', entity_key FROM e_ ANTI JOIN to_ USING (memory_space, entity_key)")
 def v_merged_entities(spark: SparkSession, d: str) -> DataFrame:
-    memories, entities = w.merged_entities(b.memories(spark, d), b.entities(spark, d), _merges(spark, d))
+    """One link of every merge, as the SQL has it; ``v_surviving_entities`` follows chains to their end."""
+    return _after_merges(*w.merged_one_link(b.memories(spark, d), b.entities(spark, d), _merges(spark, d)))
+
+
+@query()
+def v_surviving_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Memories and entities after the whole merge log, in the order of its times."""
+    return _after_merges(*w.merged_entities(b.memories(spark, d), b.entities(spark, d), _merges(spark, d, F.col("created_at").alias("at"))))
+
+
+def _after_merges(memories: DataFrame, entities: DataFrame) -> DataFrame:
     return memories.select(F.col("memory_id").alias("id"), "entity_key").unionByName(entities.select(F.lit("entity").alias("id"), "entity_key"))
 
 

@@ -120,3 +120,18 @@ def test_pages_and_lists(spark):
     asked = spark.createDataFrame([("r", ["m1", "", None, "m1", "zz", "m0"])], "request string, ids array<string>")
     assert sorted((r.id, r.position) for r in lookup.by_ids(df, "id", asked).collect()) == [("m0", 5), ("m1", 3)]
     assert [r.id for r in lookup.top(df, "at", "id", 2).collect()] == ["m4", "m5"]
+
+
+def test_merges_are_followed_to_the_survivor(spark):
+    chain = [("s", f"k{i:02}", f"k{i + 1:02}", 50.0 - i) for i in range(40)]
+    cycle = [("s", "x", "y", 1.0), ("s", "y", "z", 2.0), ("s", "z", "x", 3.0), ("s", "a", "z", 4.0), ("s", "w", "a", 5.0)]
+    several = [("s", "m", "b2", 2.0), ("s", "m", "n", 1.0), ("s", "n", "n", 1.0), ("t", "n", "o", 1.0), ("s", "u", "v", None)]
+    merges = spark.createDataFrame(chain + cycle + several, "memory_space string, source string, target string, at double")
+    keys = sorted({k for m in chain + cycle + several for k in m[1:3]})
+    entities = spark.createDataFrame([("s", k) for k in keys], "memory_space string, entity_key string")
+    memories = spark.createDataFrame([("s", f"of {k}", k) for k in keys], "memory_space string, memory_id string, entity_key string")
+    after, left = w.merged_entities(memories, entities, merges)
+    to = {f"k{i:02}": "k40" for i in range(40)} | {k: "x" for k in "yzaw"} | {"m": "n", "u": "v"}
+    assert {r.memory_id: r.entity_key for r in after.collect()} == {f"of {k}": to.get(k, k) for k in keys}
+    assert sorted(r.entity_key for r in left.collect()) == [k for k in keys if k not in to]
+    assert w.survivors(merges.limit(0)).count() == 0
