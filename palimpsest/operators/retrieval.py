@@ -153,6 +153,12 @@ def projections(memories: DataFrame, entities: DataFrame) -> DataFrame:
     return own.unionByName(of_memories)
 
 
+def searched_memories(memories: DataFrame, entities: DataFrame) -> DataFrame:
+    """(grp, doc_id, text): the index texts of the memories that are not archived, with the identity of their entity."""
+    index = projections(memories.where("status IS NULL OR status <> 'archived'"), entities).where("kind = 'memory'")
+    return index.select(F.col("memory_space").alias("grp"), F.col("key").alias("doc_id"), "text")
+
+
 def stale_documents(expected: DataFrame, indexed: DataFrame) -> DataFrame:
     """Documents of ``expected`` (ref_doc, updated_at) that the index lacks or holds with another time. Times are compared as
     the doubles they are; two null times are equal."""

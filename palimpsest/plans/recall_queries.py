@@ -88,11 +88,7 @@ def r_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SETS + _VECTORS + "SELECT query_id, doc_id, rank FROM dense")
 def r_hashed_dense(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d).select("query_id", "doc_id", "rank")
-
-
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    return r.dense(r.hashed_vectors(requests(spark, d)), r.hashed_vectors(_documents(spark, d)))
+    return r.dense(r.hashed_vectors(requests(spark, d)), r.hashed_vectors(_documents(spark, d))).select("query_id", "doc_id", "rank")
 
 
 @query(
@@ -108,9 +104,35 @@ SELECT query_id, memory_id, rank FROM (SELECT query_id, memory_id, row_number()
   FROM fused JOIN asked USING (query_id) JOIN m_ ON m_.memory_space = grp AND m_.memory_id = doc_id WHERE score >= 0.01) WHERE rank <= 10"""
 )
 def r_hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Over the memories' own texts, as the SQL has it; ``r_identity_recall`` searches their entities' identities, too."""
+    return _recalled(spark, d, _documents(spark, d))
+
+
+@query()
+def r_identity_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid recall over identity, title, summary and content, so that a name finds the memories of its entity."""
+    return _recalled(spark, d, _searched(spark, d))
+
+
+@query()
+def r_identity_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return r.ranked(r.bm25(requests(spark, d), _searched(spark, d)), r.OVERSAMPLE).select("query_id", "doc_id", "rank")
+
+
+@query()
+def r_identity_dense(spark: SparkSession, d: str) -> DataFrame:
+    return r.dense(r.hashed_vectors(requests(spark, d)), r.hashed_vectors(_searched(spark, d))).select("query_id", "doc_id", "rank")
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    return r.searched_memories(b.memories(spark, d), b.entities(spark, d))
+
+
+def _recalled(spark: SparkSession, d: str, documents: DataFrame) -> DataFrame:
     asked = requests(spark, d)
-    lexical = r.ranked(r.bm25(asked, _documents(spark, d)), r.OVERSAMPLE)
-    fused = r.rrf([lexical, _dense(spark, d)]).join(asked.select("query_id", F.col("grp").alias("memory_space")), "query_id")
+    lexical = r.ranked(r.bm25(asked, documents), r.OVERSAMPLE)
+    dense = r.dense(r.hashed_vectors(asked), r.hashed_vectors(documents))
+    fused = r.rrf([lexical, dense]).join(asked.select("query_id", F.col("grp").alias("memory_space")), "query_id")
     return r.memory_candidates(fused.withColumnRenamed("doc_id", "memory_id"), b.memories(spark, d)).select("query_id", "memory_id", "rank")
 
 

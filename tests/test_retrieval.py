@@ -77,3 +77,19 @@ def test_seeds_follow_the_intent(spark):
     rows = [("q", "latest", "active"), ("q", "latest", "stale"), ("p", "latest", "stale"), ("o", "history", "stale"), ("o", None, "active")]
     got = r.intended_seeds(spark.createDataFrame(rows, "query_id string, time_intent string, status string"))
     assert sorted((x.query_id, x.status) for x in got.collect()) == [("o", "active"), ("o", "stale"), ("p", "stale"), ("q", "active")]
+
+
+def test_a_name_finds_the_memories_of_its_entity(spark):
+    profile = "struct<who:string,definition:string,surface_forms:array<string>,stable_qualifiers:array<string>>"
+    entities = spark.createDataFrame(
+        [("s", "e1", ("Ann Alder", None, ["Annie"], None), 1.0), ("s", "e2", ("Bob", None, None, None), 1.0), ("t", "e1", ("Cleo", None, None, None), 1.0)],
+        f"memory_space string, entity_key string, identity_profile {profile}, updated_at double",
+    )
+    memories = spark.createDataFrame(
+        [("s", "m1", "e1", "active"), ("s", "m2", "e2", "active"), ("s", "m3", "e1", "archived"), ("s", "m4", "e1", None), ("s", "m5", "gone", "active"), ("t", "m6", "e1", "active")],
+        "memory_space string, memory_id string, entity_key string, status string",
+    ).selectExpr("*", "'Job' AS title", "'moved to the harbour' AS summary", "cast(null AS string) AS content", "1.0 AS updated_at")
+    documents = r.searched_memories(memories, entities)
+    assert {x.doc_id for x in documents.collect()} == {"m1", "m2", "m4", "m5", "m6"}
+    asked = spark.createDataFrame([("q", "s", "annie alder")], "query_id string, grp string, text string")
+    assert {x.doc_id for x in r.bm25(asked, documents).collect()} == {"m1", "m4"}
