@@ -1,23 +1,28 @@
 """Variant spellings of names: which drafts of a memory_space denote the same person or organisation.
 
-Every draft gives names (``who`` and its surface forms) and hints (team, place, role, desk, from its qualifiers and definition).
-From a name follow keys: strong ones that spell it in full (order, case, accents, titles, legal forms, known short forms and
-blanks don't matter), and weak ones that other spellings share with it (initials, acronyms, shortened names, logins, readings of
-Chinese names). Misspelt names are found by an exact radius join in an edit metric, partitioned in metric space: names that agree in
-all words but one form a block; in a block, words are assigned to the nearest of some pivots and, where the triangle inequality
-allows for a partner, replicated to further ones, so that every cell is joined by itself.
-
-Drafts are linked over shared keys, as spokes of a star and never in pairs: a key whose drafts have no contradicting hints links
-them all, others link only drafts that share a hint, too. Connected drafts are one entity; what contradicts is not paired.
+Every draft gives names (``who`` and its surface forms) and hints (what its qualifiers and its definition state). A name is
+written in a few forms, each a point of a metric space: in full (words folded and sorted; titles, legal forms and known short
+forms resolved), joined, with initials, as an acronym, in its Chinese characters or their reading, and so on. Points of one
+memory_space and kind of form are joined within a radius of the true Damerau-Levenshtein metric, partitioned in metric space:
+pivots are drawn from the points, each point is assigned to a ring of distances around every pivot, points near the border of a
+ring are replicated beyond it as far as the triangle inequality asks for, cells that are still large are split by further pivots,
+and every cell is joined by itself. Points at distance 0 are forms that names share; at distance 1 one of them is misspelt.
+
+Drafts are linked over the points that meet, as spokes of a star and never in pairs: a point whose drafts have no contradicting
+hints links them all, others link only drafts that share hints, too. Connected drafts are one entity; what contradicts is not
+paired.
+
+What qualifiers mean is read from the table itself: a value is a qualifier that contains no other one, its kind is the pair of
+words between which it stands most often ("in _", "_ office"), so values are compared only with others that stand in such places.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +36,19 @@ from palimpsest.partitions import spread
 
 #: Known short forms that are read at most; they are a parameter of every task.
 MAX_ALIASES = 20_000
-#: Radius of the join in Levenshtein distance: one edit, or the two of a swap.
-RADIUS = 2
-#: Words of a block for each pivot, and parts of a block that are compared with its pivots apart.
-PER_PIVOT, SALTS = 200, 16
-#: Shortest word that may be misspelt.
-SHORTEST = 4
+#: Radius of the join in Damerau-Levenshtein distance: a letter more, less or different, or two neighbours swapped.
+RADIUS = 1
+#: Points that a cell may hold before it is split, pivots that split it (besides the empty name), width of a ring around a pivot, and
+#: levels of splitting, after which what is still large is compared in blocks.
+CELL, PIVOTS, RING, LEVELS = 512, 2, 4, 4
+#: Longest pivot, and the distance from which on names are in the same outermost ring of it.
+PIVOT_LETTERS, FAR = 64, 128
+#: Shortest form that may be misspelt.
+SHORTEST = 8
+#: Words of a value that a qualifier states, values that a place in qualifiers must have to be a kind, and kinds that are compared.
+VALUE_WORDS, KIND_VALUES, KINDS = 4, 3, 4
+#: A hint identifies by itself if this many values of its kind are as frequent as all of them are on average.
+IDENTIFYING = 100
 
 #: Titles before and after names, legal forms after firm names, each in lower case.
 TITLES = {"dr", "mr", "mrs", "ms", "mx", "miss", "prof", "eng", "sir", "herr", "frau", "sr", "sra", "don", "doña", "the"}
@@ -47,19 +59,8 @@ HAN_LEGAL_FORMS = ("股份有限公司", "有限责任公司", "有限公司", "
 SURNAME_READINGS = {"乜": "nie", "澹": "tan", "单": "shan", "曾": "zeng", "仇": "qiu", "解": "xie", "查": "zha", "区": "ou", "任": "ren", "朴": "piao", "盖": "ge", "员": "yun", "尉": "yu", "秘": "bi", "缪": "miao", "种": "chong"}
 #: Letters that are not an accented form of a basic letter.
 PLAIN_LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
-#: How qualifiers and definitions state a team, place or desk.
-STATED = [
-    ("team", re.compile(r"(?:team: ?|member of )(.+)|(.+) team")),
-    ("city", re.compile(r"(?:city ?= ?|based in )(.+)|(.+) office")),
-    ("desk", re.compile(r"(desk \w+)")),
-]
-DEFINED = [
-    re.compile(r"someone of the (.+) group in (.+)"),
-    re.compile(r"an organisation working with (.+) in (.+)"),
-    re.compile(r"负责(.+)的人员，驻(.+)"),
-    re.compile(r"与(.+)合作的机构，位于(.+)"),
-]
-HINTS = ["team", "city", "role", "desk"]
+HINTS = [f"h{k}" for k in range(KINDS)]
+_HINT_WORDS = re.compile(r"[㐀-鿿]+|[^\W㐀-鿿]+")
 
 
 def fold(text: str) -> str:
@@ -92,7 +93,9 @@ def _han_keys(name: str, readings: dict[str, str]) -> tuple[list[str], list[str]
 
 def name_keys(look: str, aliases: dict[str, list[str]], readings: dict[str, str], alone: bool) -> tuple[list[str], list[str]]:
     """(strong keys, weak keys) of a name in mapped form. ``alone``: whether a single word may stand for the whole name (as a
-    login, an acronym); among surface forms it does not. The first strong key has the words in order of the alphabet."""
+    login, an acronym); among surface forms it does not. The first strong key has the words in order of the alphabet. Where short
+    forms stand for several names, there is a spelling for each other reading of one word, so keys grow with the sum of the readings;
+    names that agree only if two words take a later reading have no key in common."""
     if any("㐀" <= c <= "鿿" for c in look):
         return _han_keys(look, readings)
     text = re.sub(r"\s*[(\[{][^)\]}]*[)\]}]?\s*$", "", look.strip())
@@ -118,7 +121,8 @@ def name_keys(look: str, aliases: dict[str, list[str]], readings: dict[str, str]
     strong, weak = [], []
     choices = [aliases.get(w) or [w] for w in core]
     several = any(len(c) > 1 for c in choices)
-    for variant in itertools.islice(itertools.product(*choices), 8):
+    first = [c[0] for c in choices]
+    for variant in [first, *([*first[:i], other, *first[i + 1 :]] for i, c in enumerate(choices) for other in c[1:])]:
         long = [w for w in variant if len(w) > 1]
         one = [w for w in variant if len(w) == 1]
         if len(long) >= 2:
@@ -143,27 +147,23 @@ def name_keys(look: str, aliases: dict[str, list[str]], readings: dict[str, str]
     return list(dict.fromkeys(strong)), list(dict.fromkeys(weak))
 
 
-def hints(qualifiers: list[str | None] | None, definition: str | None) -> list[tuple[str, str]]:
-    """(kind, value) of what qualifiers and definition state; kind ``?`` for a bare qualifier."""
-    found = []
-    for q in qualifiers or []:
-        q = " ".join(fold(q or "").split())
-        if not q:
-            continue
-        stated = next(((kind, m) for kind, form in STATED if (m := form.fullmatch(q))), None)
-        found.append((stated[0], next(g for g in stated[1].groups() if g)) if stated else ("?", q))
-    for form in DEFINED:
-        if m := form.fullmatch((definition or "").strip()):
-            found += [("team", fold(m[1])), ("city", fold(m[2]))]
-    return list(dict.fromkeys(found))
+def hint_texts(qualifiers: list[str | None] | None, definition: str | None) -> list[dict]:
+    """The words of each qualifier and of the definition, folded, as (text, bare); ``bare`` is true for qualifiers."""
+    told = {}
+    for text, bare in [*((q, True) for q in qualifiers or []), (definition, False)]:
+        words = " ".join(_HINT_WORDS.findall(fold(text or "")))
+        if words:
+            told[words] = told.get(words, False) or bare
+    return [{"text": t, "bare": b} for t, b in told.items()]
 
 
 def character_readings(spark: SparkSession) -> dict[str, str]:
-    """The Latin readings of the Chinese characters, by the transliteration rules of the ICU library that Spark brings along."""
-    try:
-        rules = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII")  # noqa: SLF001
-    except Exception:  # noqa: BLE001 - without the JVM at hand (a remote session) Chinese names have no readings
-        return {}
+    """The Latin readings of the Chinese characters, by the transliteration rules of the ICU library that Spark brings along. A
+    session without the JVM at hand (a remote one) has no such rules and raises, since results would differ."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        raise RuntimeError("readings of Chinese names need the JVM of a classic Spark session")
+    rules = jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII")
     characters = [chr(c) for c in range(0x4E00, 0xA000)]
     said = rules.transliterate("\n".join(characters)).split("\n")
     return {c: r.strip() for c, r in zip(characters, said, strict=True) if r.strip().isascii() and r.strip().isalpha()}
@@ -184,48 +184,115 @@ def alias_table(name_aliases: DataFrame) -> dict[str, list[str]]:
 # --- metric space ----------------------------------------------------------------------------------------------------------
 
 
-def one_word_apart(names: DataFrame) -> DataFrame:
-    """(memory_space, name_a, name_b), a < b: names (memory_space, name; words in order of the alphabet) that differ by a typing
-    error in one word: one letter more, less or different, or two neighbours swapped.
-
-    Blocks are the names of a space without one of their words; the words left out are joined within ``RADIUS`` in Levenshtein
-    distance, cell by cell. A word x whose nearest pivot is at distance n is replicated to each pivot within n + 2 * RADIUS:
-    if y is at home at pivot p and d(x, y) <= RADIUS, then d(x, p) <= d(y, p) + RADIUS <= n + 2 * RADIUS, so x is in y's home cell.
-    """
-    words = F.split("name", " ")
-    at = names.distinct().withColumn("words", words).where(F.size("words") > 1)
-    left_out = at.select("memory_space", "name", "words", F.posexplode("words").alias("i", "word")).where(F.length("word") >= SHORTEST)
-    others = F.filter("words", lambda w, k: k != F.col("i"))
-    left_out = left_out.select("memory_space", "name", F.concat_ws(" ", others).alias("block"), "word").distinct()
-    block = ["memory_space", "block"]
-    sizes = left_out.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1")
-    items = left_out.join(sizes, block).withColumn("salt", F.pmod(F.hash("word"), F.lit(SALTS)))
-    items = materialise(items.withColumn("pivots", F.ceil(F.col("n") / PER_PIVOT).cast("int")), "blocks")
-    small = items.where("pivots = 1").select(*block, "name", "word", F.lit("").alias("pivot"), F.lit(True).alias("home"))
-    large = items.where("pivots > 1")
-    order = Window.partitionBy(*block).orderBy(F.xxhash64("word"), "word")
-    chosen = large.select(*block, "word", "pivots").distinct().withColumn("k", F.row_number().over(order)).where("k <= pivots")
-    chosen = chosen.select(*block, F.col("word").alias("pivot"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    far = large.join(chosen, [*block, "salt"]).select(*block, "name", "word", "pivot", F.levenshtein("word", "pivot").alias("d"))
-    nearest = far.groupBy(*block, "name", "word").agg(F.min(F.struct("d", "pivot")).alias("near"))
-    placed = far.join(nearest, [*block, "name", "word"]).where(F.col("d") <= F.col("near.d") + 2 * RADIUS)
-    cells = small.unionByName(placed.select(*block, "name", "word", "pivot", (F.col("near.pivot") == F.col("pivot")).alias("home")))
-    home = cells.where("home").select(*block, "pivot", F.col("name").alias("x_name"), F.col("word").alias("x"))
-    near = cells.select(*block, "pivot", F.col("name").alias("y_name"), F.col("word").alias("y"))
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    met = home.join(near, [*block, "pivot"]).where(
-        (F.col("x") != F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 1) & (F.levenshtein("x", "y", RADIUS) >= 1)
+def edit_distances(names: list[str], pivot: str) -> np.ndarray:
+    """The Damerau-Levenshtein distance (with swaps of neighbours between which letters were put in or out: a true metric) of each
+    name to the pivot, at most ``FAR``; a name longer than the pivot by ``FAR`` is not even compared."""
+    out = np.full(len(names), FAR, np.int64)
+    at = sorted((i for i, n in enumerate(names) if len(n) - len(pivot) < FAR), key=lambda i: len(names[i]))
+    for low in range(0, len(at), 1024):  # names of like length together, in arrays of bounded size
+        out[at[low : low + 1024]] = _distances([names[i] for i in at[low : low + 1024]], pivot)
+    return out
+
+
+def _distances(names: list[str], pivot: str) -> np.ndarray:
+    sizes = np.array([len(n) for n in names])
+    width, rows, m = int(sizes.max()), np.arange(len(names)), len(pivot)
+    letters = np.zeros((width, len(names)), np.int32)
+    for row, n in enumerate(names):
+        letters[: len(n), row] = [ord(c) for c in n]
+    d = np.full((m + 2, width + 2, len(names)), m + width, np.int16)  # d[i + 1, j + 1]: the first i letters of the pivot, j of the name
+    d[1:, 1] = np.arange(m + 1)[:, None]
+    d[1, 1:] = np.arange(width + 1)[:, None]
+    last_row = np.zeros((width, len(names)), np.int16)  # where the pivot had each letter of the name last
+    for i in range(1, m + 1):
+        same = letters == ord(pivot[i - 1])
+        last_column = np.zeros(len(names), np.int16)
+        for j in range(1, width + 1):
+            k, hit = last_row[j - 1], same[j - 1]
+            swapped = d[k, last_column, rows] + (i - k) + (j - last_column) - 1
+            edited = np.minimum(np.minimum(d[i, j] + ~hit, d[i + 1, j] + 1), d[i, j + 1] + 1)
+            d[i + 1, j + 1] = np.minimum(edited, swapped)
+            last_column[hit] = j
+        last_row[same] = i
+    return np.minimum(d[m + 1, sizes + 1, rows], FAR)
+
+
+def split_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(point columns, cell) of points (.., form, cell, pivots): the new cells of each point, one for each combination of the rings
+    that it is in. A point is at home in ring d // RING of a pivot; within ``RADIUS`` below the next ring it is in that, too. Of two
+    points within the radius, whose distances to the pivot differ by no more than that, one is so in the home ring of the other."""
+    for batch in batches:
+        at: dict[int, list[int]] = {}
+        for i, c in enumerate(batch.column("cell").to_pylist()):
+            at.setdefault(c, []).append(i)
+        forms = batch.column("form").to_pylist()
+        taken, cells = [], []
+        for cell, rows in at.items():
+            own = [forms[i] for i in rows]
+            pivots = batch.column("pivots")[rows[0]].as_py()
+            distances = [np.array([len(f) for f in own]), *(edit_distances(own, p) for p in pivots if p)]
+            placed = [(i, np.uint64(cell & 0xFFFFFFFFFFFFFFFF)) for i in range(len(own))]
+            with np.errstate(over="ignore"):
+                for d in distances:
+                    ring, beyond = d // RING, (d + RADIUS) // RING
+                    placed = [(i, (c ^ np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)) for i, c in placed for r in range(int(ring[i]), int(beyond[i]) + 1)]
+                    placed = [(i, c ^ (c >> np.uint64(31))) for i, c in placed]
+            taken += [rows[i] for i, _ in placed]
+            cells += [int(c) for _, c in placed]
+        out = batch.take(pa.array(taken, pa.int64()))
+        columns = [out.column(n) for n in ("memory_space", "kind", "form")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(cells, np.uint64).view(np.int64))], names=["memory_space", "kind", "form", "cell"])
+
+
+POINT = ["memory_space", "kind", "form"]
+
+
+def metric_cells(points: DataFrame) -> DataFrame:
+    """(memory_space, kind, form, cell): the cells of different points; any two points of one space and kind within the radius are
+    in some cell together. Cells are split while one is larger than ``CELL``; what is so after ``LEVELS`` splits (names that lie
+    too close together for any pivot) is cut into blocks, all pairs of which are cells, so that no cell exceeds a bound."""
+    points = points.select(*POINT, F.xxhash64("memory_space", "kind").alias("cell"))
+    for level in range(LEVELS + 1):
+        drawn = [F.min(F.when(F.length("form") <= PIVOT_LETTERS, F.struct(F.xxhash64("form", F.lit(10 * level + k)), "form")))["form"] for k in range(PIVOTS)]
+        large = points.groupBy("cell").agg(F.count("*").alias("n"), F.array(*drawn).alias("pivots")).where(F.col("n") > CELL)
+        large = materialise(large, "large")
+        if large.isEmpty():
+            return points
+        split = points.join(large, "cell")
+        rest = points.join(large.select("cell"), "cell", "left_anti")
+        if level == LEVELS:
+            blocks = F.ceil(F.col("n") / CELL).cast("int")
+            split = split.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("form"), "blocks"))
+            split = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            split = split.select(*POINT, F.xxhash64("cell", F.least("block", "with"), F.greatest("block", "with")).alias("cell"))
+        else:
+            split = split.select(*POINT, "cell", "pivots").mapInArrow(split_cells, "memory_space string, kind string, form string, cell long")
+        points = materialise(rest.select(*POINT, "cell").unionByName(split), "cells")
+    return points
+
+
+def near_points(points: DataFrame) -> DataFrame:
+    """(memory_space, kind, form_a, form_b), form_a < form_b: different points (memory_space, kind, form) at distance 1, each pair
+    once, by an exact join of every cell. Points shorter than ``SHORTEST`` letters have no neighbours."""
+    cells = metric_cells(points.where(F.length("form") >= SHORTEST))
+    one = cells.select("memory_space", "kind", "cell", F.col("form").alias("form_a"))
+    other = cells.select("memory_space", "kind", "cell", F.col("form").alias("form_b"))
+    met = one.join(other, ["memory_space", "kind", "cell"]).where(
+        (F.col("form_a") < F.col("form_b")) & (F.abs(F.length("form_a") - F.length("form_b")) <= 1) & (F.levenshtein("form_a", "form_b", 2) >= 1)
+    )
+    swap = F.expr(
+        "length(form_a) = length(form_b) AND exists(sequence(1, length(form_a) - 1), i -> "
+        "concat(left(form_a, i - 1), substr(form_a, i + 1, 1), substr(form_a, i, 1), substr(form_a, i + 2)) = form_b)"
     )
-    met = met.where((F.levenshtein("x", "y") == 1) | ((F.length("x") == F.length("y")) & (letters("x") == letters("y"))))
-    return met.select("memory_space", F.least("x_name", "y_name").alias("name_a"), F.greatest("x_name", "y_name").alias("name_b")).distinct()
+    return met.where((F.levenshtein("form_a", "form_b") == 1) | swap).drop("cell").distinct()
 
 
 # --- drafts ----------------------------------------------------------------------------------------------------------------
 
 
 def read_drafts(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
-    """(draft, memory_space, who, strong, weak, hints) of every draft with an id and a space; repeated deliveries once.
-    ``strong`` and ``weak`` are arrays of keys, ``hints`` an array of (kind, value)."""
+    """(draft, memory_space, who, strong, weak, told) of every draft with an id and a space; repeated deliveries once.
+    ``strong`` and ``weak`` are arrays of keys, ``told`` an array of the (text, bare) that hints are read from."""
     aliases, readings = alias_table(name_aliases), character_readings(drafts.sparkSession)
     shared = drafts.sparkSession.sparkContext.broadcast((aliases, readings))  # both of bounded size
 
@@ -241,12 +308,12 @@ def read_drafts(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
                         own.update(dict.fromkeys(found))
                 strong.append(list(keys[0]))
                 weak.append([k for k in keys[1]])
-                told.append([{"kind": k, "value": v} for k, v in hints(qualifiers, definition)])
+                told.append(hint_texts(qualifiers, definition))
             keys_type = pa.list_(pa.string())
-            told_type = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+            told_type = pa.list_(pa.struct([("text", pa.string()), ("bare", pa.bool_())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("draft"), batch.column("memory_space"), batch.column("who"), pa.array(strong, keys_type), pa.array(weak, keys_type), pa.array(told, told_type)],
-                names=["draft", "memory_space", "who", "strong", "weak", "hints"],
+                names=["draft", "memory_space", "who", "strong", "weak", "told"],
             )
 
     told = drafts.select(
@@ -259,88 +326,118 @@ def read_drafts(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
         "definition",
     )
     told = told.where("draft IS NOT NULL AND memory_space IS NOT NULL").dropDuplicates(["draft"])
-    schema = "draft string, memory_space string, who string, strong array<string>, weak array<string>, hints array<struct<kind:string,value:string>>"
+    schema = "draft string, memory_space string, who string, strong array<string>, weak array<string>, told array<struct<text:string,bare:boolean>>"
     return spread(told, "draft").mapInArrow(read, schema)
 
 
-def with_hints(read: DataFrame) -> DataFrame:
-    """``read`` with columns team, city, role and desk. A bare qualifier is of the kind that its value is stated as elsewhere in
-    the table, else a role; a place in other than Latin letters is no place (it may translate another)."""
-    told = read.select("draft", F.explode("hints").alias("h")).select("draft", "h.kind", "h.value")
-    vocabulary = told.where("kind IN ('team', 'city')").groupBy("value", "kind").agg(F.count("*").alias("n"))
-    vocabulary = vocabulary.groupBy("value").agg(F.max(F.struct("n", "kind"))["kind"].alias("known"))
-    told = told.join(vocabulary, "value", "left")
-    kind = F.when(F.col("kind") != "?", F.col("kind")).otherwise(F.coalesce("known", F.lit("role")))
-    kind = F.when((kind == "city") & ~F.col("value").rlike("^[\\x00-\\x7F]*$"), "other").otherwise(kind)
-    each = told.groupBy("draft").agg(*[F.min(F.when(kind == h, F.col("value"))).alias(h) for h in HINTS])
-    return read.drop("hints").join(each, "draft", "left")
+PHRASES = f"""
+flatten(transform(sequence(1, size(words)), i -> transform(sequence(1, least({VALUE_WORDS}, size(words) - i + 1)), n -> struct(
+  array_join(slice(words, i, n), ' ') AS value, coalesce(get(words, i - 2), '^') AS before, coalesce(get(words, i + n - 1), '$') AS after, n < size(words) AS inside))))
+"""
+
 
+def hint_values(told: DataFrame) -> DataFrame:
+    """(text, kind, value): what the different texts (text, bare) state.
 
-def _agree(prefix: str = "") -> Column:
+    A value is a qualifier of up to ``VALUE_WORDS`` words that contains no other one, or a word with a digit; it is stated wherever
+    its words stand. Its kind is the place (the words before and after it) that most values stand in of those where it stands
+    itself, if at least ``KIND_VALUES`` do, with the script of its letters (a translation contradicts nothing); without such a
+    place it is of the kind ``-``.
+    """
+    words = told.select("text", "bare", F.split("text", " ").alias("words"))
+    phrases = materialise(words.select("text", "bare", F.explode(F.expr(PHRASES)).alias("p")).select("text", "bare", "p.*"), "phrases")
+    qualifiers = told.where("bare").select(F.col("text").alias("value"))
+    number = (~F.col("value").contains(" ")) & F.col("value").rlike("[0-9]")
+    known = phrases.where(~number).join(qualifiers, "value", "left_semi").unionByName(phrases.where(number))
+    containing = known.where("inside AND bare").select(F.col("text").alias("value")).distinct()
+    stated = materialise(known.join(containing, "value", "left_anti"), "stated")
+    place = stated.where("inside").groupBy("before", "after", "value").agg(F.count("*").alias("n"))
+    places = place.groupBy("before", "after").agg(F.count("*").alias("values"), F.sum("n").alias("times")).where(F.col("values") >= KIND_VALUES)
+    best = place.join(places, ["before", "after"]).groupBy("value").agg(F.max(F.struct("values", "times", "before", "after")).alias("at"))
+    script = F.when(F.col("value").rlike("[㐀-鿿]"), F.lit("han"))
+    kinds = best.select("value", F.concat_ws(" ", F.col("at.before"), F.col("at.after"), script).alias("kind"))
+    return stated.select("text", "value").join(kinds, "value", "left").select("text", F.coalesce("kind", F.lit("-")).alias("kind"), "value").distinct()
+
+
+def with_hints(read: DataFrame) -> tuple[DataFrame, list[bool]]:
+    """(``read`` with a column for each of the ``KINDS`` kinds of hints that most drafts state, whether each kind identifies by
+    itself); see ``hint_values``. Of several values of one kind the smallest counts."""
+    told = materialise(read.select("draft", F.explode("told").alias("t")).select("draft", "t.*"), "told")
+    values = hint_values(told.groupBy("text").agg(F.max("bare").alias("bare")))
+    given = materialise(told.select("draft", "text").join(values, "text").select("draft", "kind", "value").distinct(), "hints")
+    counts = given.groupBy("kind", "value").agg(F.count("*").alias("n")).groupBy("kind")
+    even = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))  # as many equally frequent values make two drafts agree as often
+    top = counts.agg(F.sum("n").alias("n"), even.alias("even")).orderBy(F.desc("n"), "kind").limit(KINDS).collect()  # KINDS rows
+    names_of = [r["kind"] for r in top] + [None] * (KINDS - len(top))
+    each = given.groupBy("draft").agg(*[F.min(F.when(F.col("kind") == F.lit(k), F.col("value"))).alias(h) for h, k in zip(HINTS, names_of, strict=True)])
+    return read.drop("told").join(each, "draft", "left"), [r["even"] >= IDENTIFYING for r in top] + [False] * (KINDS - len(top))
+
+
+def _agree() -> Column:
     """Whether a group has at most one value of every hint."""
-    same = [F.coalesce(F.min(prefix + h) == F.max(prefix + h), F.lit(True)) for h in HINTS]
-    return same[0] & same[1] & same[2] & same[3]
-
-
-def links(known: DataFrame) -> DataFrame:
-    """(memory_space, a, b): stars that connect drafts of one entity; a is a draft, b a key with what is required besides."""
-    hint_columns = ["draft", "memory_space", *HINTS]
-    strong = materialise(known.select(*hint_columns, F.explode("strong").alias("key")), "strong")
-    clear = strong.groupBy("memory_space", "key").agg(_agree().alias("clear"), *[F.min(h).alias(f"{h}_k") for h in HINTS])
-    clear = materialise(clear, "keys")
-    marked = strong.join(clear.select("memory_space", "key", "clear"), ["memory_space", "key"])
-    with_ = lambda *columns: F.concat_ws("|", "key", *[F.concat(F.lit(c[0]), c) for c in columns])
-    given = lambda *columns: F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in columns)), with_(*columns))
-    target = F.when(F.col("clear"), F.array("key")).otherwise(F.array(*[given(h) for h in HINTS]))
-    out = [marked.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b"))]
-
-    # weak keys: together with hints, or alone where all names in full behind the key are one
-    weak = known.select(*hint_columns, F.get("strong", 0).alias("full"), F.explode("weak").alias("key"))
-    weak = materialise(weak, "weak")
-    one = weak.groupBy("memory_space", "key").agg(_agree().alias("clear"), F.min("full").alias("least"), F.max("full").alias("most"))
-    weak = weak.join(one, ["memory_space", "key"])
-    rare = F.substring("key", 1, 1).isin("c", "s", "n")  # others may well share these
-    certain = F.col("clear") & (F.col("least") == F.col("most")) & ~F.substring("key", 1, 1).isin("s", "n")
-    target = F.array(
-        F.when(certain, F.col("key")),
-        given("desk"),
-        F.when(~rare, given("team")),
-        F.when(rare, given("team", "city")),
-        F.when(~rare, given("city", "role")),
-    )
-    out.append(weak.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b")))
-
-    # misspelt names: with a hint in common, or where nothing contradicts and one of the two says nothing
-    names = clear.where("key LIKE 'f %'").select("memory_space", F.substring("key", 3, 10_000).alias("name"))
-    apart = materialise(one_word_apart(names), "apart")
-    full = clear.where("key LIKE 'f %'")
-    side = lambda s: full.select(
-        "memory_space", F.substring("key", 3, 10_000).alias(f"name_{s}"), *[F.col(f"{h}_k").alias(f"{h}_{s}") for h in HINTS], F.col("clear").alias(f"clear_{s}")
-    )
-    both = apart.join(side("a"), ["memory_space", "name_a"]).join(side("b"), ["memory_space", "name_b"])
-    no_clash = F.col("clear_a") & F.col("clear_b")
+    same = F.lit(True)
+    for h in HINTS:
+        same = same & F.coalesce(F.min(h) == F.max(h), F.lit(True))
+    return same
+
+
+def evidence(key: str, identifying: list[bool]) -> list[Column]:
+    """The key together with each hint that identifies by itself, and with each two hints; null where a draft lacks them."""
+    sets = [[h] for h, alone in zip(HINTS, identifying, strict=True) if alone]
+    sets += [[HINTS[i], HINTS[j]] for j in range(KINDS) for i in range(j) if not (identifying[i] or identifying[j])]
+    return [with_hint(key, *s) for s in sets]
+
+
+def with_hint(key: str, *hints: str) -> Column:
+    told = F.concat_ws("|", key, *[F.concat(F.lit(h), F.lit(" "), h) for h in hints])
+    return F.when(F.expr(" AND ".join(f"{h} IS NOT NULL" for h in hints)), told)
+
+
+def links(known: DataFrame, identifying: list[bool]) -> DataFrame:
+    """(memory_space, a, b): stars that connect drafts of one entity; a is a draft, b a point or two with what is required besides."""
+    either = F.expr("concat(transform(strong, k -> struct(k AS key, true AS full)), transform(weak, k -> struct(k AS key, false AS full)))")
+    spelt = known.select("draft", "memory_space", *HINTS, F.get("strong", 0).alias("name"), F.explode(either).alias("k"))
+    spelt = materialise(spelt.select("draft", "memory_space", *HINTS, "name", "k.*"), "spelt")
+    at = ["memory_space", "key", "full"]
+    summary = [_agree().alias("clear"), F.min("name").alias("least"), F.max("name").alias("most"), *[F.min(h).alias(f"{h}_k") for h in HINTS]]
+    points = materialise(spelt.groupBy(*at).agg(*summary), "points")
+    exploded = lambda df, target: df.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b"))
+
+    # points at distance 0: names in full need a hint in common only where hints contradict, other forms nearly always
+    meeting = spelt.join(points.select(*at, "clear", "least", "most"), at)
+    certain = F.when(F.col("full"), F.col("clear")).otherwise(F.col("clear") & (F.col("least") == F.col("most")) & ~F.substring("key", 1, 1).isin("s", "n"))
+    any_hint = F.array(*[with_hint("key", h) for h in HINTS])
+    target = F.when(certain, F.array("key")).when(F.col("full"), any_hint).otherwise(F.array(*evidence("key", identifying)))
+    shared = exploded(meeting, target)
+
+    # points at distance 1: with hints in common, or names in full where nothing contradicts
+    point = points.select("memory_space", F.substring("key", 1, 1).alias("kind"), F.expr("substring(key, 3)").alias("form"), "full", "clear", *[f"{h}_k" for h in HINTS])
+    near = materialise(near_points(point.select(*POINT).distinct()), "near")
+    names = point.where("full AND kind = 'f'")
+    side = lambda s: names.select(*[F.col(c) for c in ("memory_space", "kind")], F.col("form").alias(f"form_{s}"), F.col("clear").alias(f"clear_{s}"), *[F.col(f"{h}_k").alias(f"{h}_{s}") for h in HINTS])
+    both = near.join(side("a"), ["memory_space", "kind", "form_a"], "left").join(side("b"), ["memory_space", "kind", "form_b"], "left")
+    no_clash = F.coalesce(F.col("clear_a") & F.col("clear_b"), F.lit(False))
     for h in HINTS:
         no_clash = no_clash & F.coalesce(F.col(f"{h}_a") == F.col(f"{h}_b"), F.lit(True))
-    pair = F.concat_ws("~", "name_a", "name_b")
-    both = both.select("memory_space", pair.alias("pair"), no_clash.alias("no_clash"), F.explode(F.array("name_a", "name_b")).alias("name"))
-    spelt = strong.where("key LIKE 'f %'").withColumn("name", F.substring("key", 3, 10_000)).drop("key")
-    spelt = spelt.join(both, ["memory_space", "name"]).withColumn("key", F.concat(F.lit("y "), F.col("pair")))
-    target = F.when(F.col("no_clash"), F.array("key")).otherwise(F.array(given("desk"), given("team", "city"), given("team", "role"), given("city", "role")))
-    out.append(spelt.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b")))
-    found = materialise(out[0].unionByName(out[1]).unionByName(out[2]), "links")
+    two = both.select("memory_space", F.concat_ws("~", "kind", "form_a", "form_b").alias("two"), no_clash.alias("no_clash"), F.explode(F.array(F.concat_ws(" ", "kind", "form_a"), F.concat_ws(" ", "kind", "form_b"))).alias("key"))
+    target = F.when(F.col("no_clash"), F.array("two")).otherwise(F.array(*evidence("two", identifying)))
+    misspelt = exploded(spelt.join(two, ["memory_space", "key"]), target)
+
+    found = materialise(shared.unionByName(misspelt), "links")
     # a key that one draft has links nothing; most keys are such
-    met = found.groupBy("memory_space", "b").agg(F.min("draft").alias("least"), F.max("draft").alias("most")).where("least <> most")
+    met = found.groupBy("memory_space", "b").agg(F.min("draft").alias("first"), F.max("draft").alias("last")).where("first <> last")
     shared = found.join(met.select("memory_space", "b"), ["memory_space", "b"], "left_semi")
     return shared.select("memory_space", F.concat(F.lit("@"), F.col("draft")).alias("a"), F.concat(F.lit("~"), F.col("b")).alias("b"))
 
 
 def draft_entities(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
-    """(draft, memory_space, who, team, city, role, desk, entity) of every draft with an id and a space. ``entity`` is equal
+    """(draft, memory_space, who, hints, entity) of every draft with an id and a space. ``entity`` is equal
     for drafts that denote the same entity of the space; a draft that nothing links is its own. Null and empty names, surface
     forms and qualifiers are ignored. No drafts give no rows. Other columns of the tables are ignored."""
-    known = materialise(with_hints(materialise(read_drafts(drafts, name_aliases), "read")), "drafts")
-    grouped = group_records(links(known), "a", "b", ["memory_space"]).where("key LIKE '@%'")
-    entity = grouped.select(F.substring("key", 2, 10_000).alias("draft"), F.col("group_key").alias("entity"))
+    known, identifying = with_hints(materialise(read_drafts(drafts, name_aliases), "read"))
+    known = materialise(known, "drafts")
+    grouped = group_records(links(known, identifying), "a", "b", ["memory_space"]).where("key LIKE '@%'")
+    entity = grouped.select(F.expr("substring(key, 2)").alias("draft"), F.col("group_key").alias("entity"))
     return known.drop("strong", "weak").join(entity, "draft", "left").withColumn("entity", F.coalesce("entity", F.concat(F.lit("@"), F.col("draft"))))
 
 
