@@ -13,8 +13,8 @@ A text whose words equal those of a cut text is cut, too; so is a near-copy that
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,9 @@ AROUND, BESIDE, WORD_SPAN = 50, 5, 12
 #: Closing words end a sentence or line in less than this share of their places in the corpus: the text goes on.
 CLOSING_SHARE = 0.1
 
+#: Share of the texts with a closing mark that end there, and of a source's texts that have the same last words if these are no
+#: part of what was written.
+MARKED, FOOTER_SHARE = 0.98, 0.1
 #: A word is rare if it has fewer places than this share of the number of texts.
 RARE_WORD = 0.001
 #: A last line of up to three words closes a text (a signature, an end mark) if texts stop there in this share of its places; texts
@@ -57,7 +60,6 @@ _WORD = regex.compile(
     r"https?://\S+|#\w+|\p{Han}|\p{N}+(?:[-/.,:]\p{N}+)*(?![\p{L}\p{N}])|[\p{L}\p{M}\p{N}]*\p{L}+(?:[-/'’](?=[\p{L}\p{N}])[\p{L}\p{M}\p{N}]+)*"
     r"|[\p{L}\p{N}]+|\n|[^\s\p{L}\p{N}]"
 )
-_PLAIN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}_]+")
 #: Marks that end a sentence.
 ENDS = ".!?。！？…؟"
 
@@ -65,47 +67,49 @@ ENDS = ".!?。！？…؟"
 # --- closing words ---------------------------------------------------------------------------------------------------------
 
 
-def classes(text: str) -> list[str]:
-    """The words, marks and line breaks of a text as classes: numbers ``0``, words with digits ``ID``, links ``URL``, hash tags
-    ``TAG``, capitalised words ``Xx``, all else itself. A run of blanks is nothing, a run of line breaks is one (``¶`` if more
-    than one); a Chinese character is a word."""
-    out: list[str] = []
-    for w in _WORD.findall(text):
-        c = w[0]
-        if w == "\n":
-            if out and out[-1] in "\n¶":
-                out[-1] = "¶"
-                continue
-        elif len(w) > 1:
-            if c == "#":
-                w = "TAG"
-            elif w.startswith("http") and "://" in w:
-                w = "URL"
-            elif any(x.isdigit() for x in w):
-                w = "ID" if any(x.isalpha() for x in w) else "0"
-            elif c.isupper() and not w.isupper():
-                w = "Xx"
-        elif c.isdigit():
-            w = "0"
-        elif c.isupper():
-            w = "Xx"
-        out.append(w)
-    return out
+def word_class(w: str) -> str:
+    """The class of a word or mark: numbers ``0``, words with digits ``ID``, links ``URL``, hash tags ``TAG``, capitalised words
+    ``Xx``, all else itself."""
+    c = w[0]
+    if len(w) > 1:
+        if c == "#":
+            return "TAG"
+        if w.startswith("http") and "://" in w:
+            return "URL"
+        if any(x.isdigit() for x in w):
+            return "ID" if any(x.isalpha() for x in w) else "0"
+        return "Xx" if c.isupper() and not w.isupper() else w
+    return "0" if c.isdigit() else "Xx" if c.isupper() else w
 
 
 #: Odd numbers that mix the hashes of words into the hash of a context.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-_hashes: dict[str, int] = {}
+#: Kinds of words; the number of a word is its place in the tables of ``Words``.
+START, LINE, MARK, HAN = 1, 2, 4, 8
+_START, _BREAK, _BREAKS = range(3)
+_AHEAD = 5
+
+
+class Words(dict):
+    """Numbers of the words that a worker has met, with the hash of each one's class (``own``; ``plain`` has one hash for all Chinese
+    characters) and its kind. Hashes are the same in every worker; numbers are not."""
 
+    def __init__(self) -> None:
+        super().__init__({"\n": _BREAK, "\n\n": _BREAKS})
+        line = [xxhash.xxh64_intdigest(w) for w in ("\n", "¶")]
+        self.own, self.plain, self.kind = [94, *line], [94, *line], [START, LINE, LINE]
 
-def word_hash(word: str) -> int:
-    """A 64-bit hash of a word class that is the same in every worker; those of known words are remembered, up to a bound."""
-    h = _hashes.get(word)
-    if h is None:
-        if len(_hashes) > 300_000:
-            _hashes.clear()
-        h = _hashes[word] = xxhash.xxh64_intdigest(word)
-    return h
+    def __missing__(self, w: str) -> int:
+        han = "\u3400" <= w <= "\u9fff"
+        h = xxhash.xxh64_intdigest(word_class(w))
+        self.own.append(h)
+        self.plain.append(xxhash.xxh64_intdigest("字") if han else h)
+        self.kind.append((MARK if w in ENDS else 0) | (HAN if han else 0))
+        self[w] = len(self.own) - 1
+        return len(self.own) - 1
+
+
+_words = Words()
 
 
 def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -118,87 +122,134 @@ def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
-def contexts_of(words: list[str], only_last: bool = False) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(kind, places, hashes) of the contexts in the words of a text (or of its last place): at each place its last three, two and
-    one words (kinds 3, 2, 1); after a Chinese character also the two characters before the last three, and before the last
-    two, which names of people fill (``w``, ``v``); within the first three words of a line but the first also the line's words
-    with the end of the line before (``S``), and with nothing but the kind of break (``P``)."""
-    n = len(words)
-    h = np.fromiter((word_hash(w) for w in words), np.uint64, n)
-    before = lambda k: np.concatenate([np.full(min(k, n), 94, np.uint64), h[: n - k if k < n else 0]])  # noqa: E731 - 94 stands before the text
-    at = np.arange(n)[-1:] if only_last else np.arange(n)
-    b1, b2, b3, b4 = (before(k)[at] for k in (1, 2, 3, 4))
-    out = [("3", at, _mixed(3, b2, b1, h[at])), ("2", at, _mixed(2, b1, h[at])), ("1", at, _mixed(1, h[at]))]
-    han = np.fromiter(("\u3400" <= words[i] <= "\u9fff" and i > 4 for i in at), bool, len(at))
-    if han.any():
-        out += [("w", at[han], _mixed(5, b4[han], b3[han])), ("v", at[han], _mixed(6, b3[han], b2[han]))]
-    places, whole, plain, line = [], [], [], 0
-    breaks = [i for i in range(n) if words[i] in "\n¶"]
-    starts = breaks[-1:] if only_last else breaks
-    for line in (k + 1 for k in starts):
-        end = next((k for k in range(line, min(line + 3, n)) if words[k] in "\n¶"), min(line + 3, n))
-        for i in range(n - 1, n) if only_last and n - line <= 3 else range(0) if only_last else range(line, end):
-            own = " ".join("字" if "\u3400" <= x <= "\u9fff" else x for x in words[line : i + 1])
-            places.append(i)
-            whole.append(word_hash(f"S {' '.join(words[max(0, line - 3) : line])} {own}"))
-            plain.append(word_hash(f"P {words[line - 1]} {own}"))
-    if places:
-        spots = np.array(places)
-        out += [("S", spots, np.array(whole, np.uint64).view(np.int64)), ("P", spots, np.array(plain, np.uint64).view(np.int64))]
-    return out
+class Places:
+    """The words of many texts in a row, with the contexts of every place. A run of blanks is nothing, a run of line breaks is one
+    word; a Chinese character is a word. Before each text stand a few words that tell that it starts there."""
+
+    def __init__(self, texts: list[str]):
+        global _words
+        if len(_words) > 300_000:
+            _words = Words()
+        parts = [np.zeros(_AHEAD, np.int32)]
+        for text in texts:
+            words = _WORD.findall(text)
+            parts += [np.fromiter(map(_words.__getitem__, words), np.int32, len(words)), parts[0]]
+        at = np.concatenate(parts)
+        lines = at == _BREAK
+        run = lines & np.roll(lines, 1)
+        at[lines & np.roll(lines, -1) & ~run] = _BREAKS
+        at = at[~run]
+        own, plain, kind = (np.array(x, t)[at] for x, t in ((_words.own, np.uint64), (_words.plain, np.uint64), (_words.kind, np.uint8)))
+        self.own, self.plain, self.kind, n = own, plain, kind, len(at)
+        self.start, self.line, self.mark, self.han = ((kind & k) > 0 for k in (START, LINE, MARK, HAN))
+        place = np.arange(n)
+        self.text = np.cumsum(self.start) // _AHEAD - 1
+        self.nth = place - np.maximum.accumulate(np.where(self.start, place, 0)) - 1
+        self.last = ~self.start & np.roll(self.start, -1)
+        self.before_break = np.maximum.accumulate(np.where(self.start | self.line, place, 0))
+
+    def contexts(self, at: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """(kind, places, hashes) of the contexts of the places ``at``: the last three, two and one words (kinds 3, 2, 1); after a
+        Chinese character also the two characters before the last three, and before the last two, which names of people fill (``w``,
+        ``v``); within the first three words of a line but the first also the line's words with the end of the line before (``S``),
+        and with nothing but the kind of break (``P``)."""
+        h = self.own
+        yield "3", at, _mixed(3, h[at - 2], h[at - 1], h[at])
+        yield "2", at, _mixed(2, h[at - 1], h[at])
+        yield "1", at, _mixed(1, h[at])
+        han = at[self.han[at] & (self.nth[at] > 4)]
+        yield "w", han, _mixed(5, h[han - 4], h[han - 3])
+        yield "v", han, _mixed(6, h[han - 3], h[han - 2])
+        lines = at[self.line[self.before_break[at]] & (at - self.before_break[at] <= 3) & ~self.line[at]]
+        broke = self.before_break[lines]
+        nth, g, none = lines - broke, self.plain, np.uint64(0)
+        words = np.where(nth > 2, g[lines - 2], none), np.where(nth > 1, g[lines - 1], none), g[lines]
+        yield "S", lines, _mixed(7, h[broke - 2], h[broke - 1], h[broke], *words)
+        yield "P", lines, _mixed(8, h[broke], *words)
+
+
+def in_parts(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of runs of texts with about so many characters, or one longer text."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= chars or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, held = i + 1, 0
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(context, places, ends): how often contexts occur inside the texts of a batch, and how often a sentence or line ends
     right after them (of a line's words: the line). Places at the very end of a text don't count."""
     for batch in batches:
-        hashes, ended = [], []
-        for text in batch.column(0).to_pylist():
-            words = classes(text.rstrip())
-            if len(words) < 2:
-                continue
-            line_end = np.fromiter((w in "\n¶" for w in words[1:]), bool, len(words) - 1)
-            mark_end = np.fromiter((w in ENDS for w in words[1:]), bool, len(words) - 1)
-            word = ~np.concatenate([[words[0] in "\n¶" or words[0] in ENDS], line_end | mark_end])
-            for kind, at, found in contexts_of(words):
-                inside = (at < len(words) - 1) & word[at]
-                at = at[inside]
-                hashes.append(found[inside])
-                ended.append(line_end[at] if kind in "SP" else line_end[at] | mark_end[at])
-        if hashes:
+        for _, texts in in_parts([t.rstrip() for t in batch.column(0).to_pylist()]):
+            p = Places(texts)
+            at = np.flatnonzero(~(p.start | p.line | p.mark | p.last))
+            hashes, ended = [], []
+            for kind, places, found in p.contexts(at):
+                hashes.append(found)
+                ended.append(p.line[places + 1] | (p.mark[places + 1] if kind not in "SP" else False))
             names, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            ends = np.bincount(place, weights=np.concatenate(ended)).astype(np.int64)
-            columns = [pa.array(names), pa.array(np.bincount(place).astype(np.int64)), pa.array(ends)]
+            ends = np.bincount(place, weights=np.concatenate(ended), minlength=len(names)).astype(np.int64)
+            columns = [pa.array(names), pa.array(np.bincount(place, minlength=len(names)).astype(np.int64)), pa.array(ends)]
             yield pa.RecordBatch.from_arrays(columns, names=["context", "places", "ends"])
 
 
-#: Characters at the end of a text that its closing contexts are taken from; they reach back over five words and a line's start.
+#: Characters at the end of a text that are looked at first for its closing contexts.
 CLOSING_CHARS = 2_000
 
 
-def closing(text: str) -> tuple[bool, bool, bool, list[dict]]:
-    """(marked, broken, small, contexts) of a text's end: whether a mark closes it, whether its last character is a broken one,
-    whether its last word is in small letters of an alphabet, and the contexts of its last place as (kind, context)."""
-    tail = text.rstrip()[-CLOSING_CHARS:]
-    words, last = classes(tail), tail[-1:]
-    small = bool(words) and words[-1].isalpha() and words[-1].islower() and not "\u3400" <= words[-1] <= "\u9fff"
-    marked = bool(last) and not last.isalnum() and last not in ",-–—:;&/(\ufffd" and not last.isspace()
-    if len(words) < 3:  # where texts begin they do not end, so only a plain word itself tells
-        found = [("1", _mixed(1, np.array([word_hash(words[-1])], np.uint64)))] if words and words[-1].islower() else []
-    else:
-        found = [(kind, hashes[-1:]) for kind, _, hashes in contexts_of(words, only_last=True)]
-    return marked, last == "\ufffd", small, [{"kind": k, "context": int(h[0])} for k, h in found]
+def closing_part(text: str) -> str:
+    """The end of a text that all contexts of its last place are in: from the start of a line, with the whole last line and at
+    least three words of the lines before it (which is all that contexts reach back to), or the whole text."""
+    at = len(text)
+    while at > 0:
+        at = text.rfind("\n", 0, max(0, at - CLOSING_CHARS)) + 1
+        last = text.rfind("\n", at)
+        if last > at and len(_WORD.findall(text[at:last])) > _AHEAD:
+            break
+    return text[at:]
+
+
+def closings(texts: list[str]) -> tuple[list[list[bool]], pa.ListArray]:
+    """((marked, broken, small) of every text's end, its contexts): whether a mark closes it, whether its last character is a
+    broken one, whether its last word is in small letters of an alphabet; the contexts of its last place as (kind, context)."""
+    flags: list[list[bool]] = [[], [], []]
+    owners, kinds, hashes = [], [], []
+    for first, part in in_parts([closing_part(t.rstrip()) for t in texts]):
+        for t in part:
+            last = t[-1:]
+            word = _WORD.findall(t, max(0, t.rfind(" ") + 1, t.rfind("\n") + 1))[-1:]
+            flags[0].append(bool(last) and not last.isalnum() and last not in ",-–—:;&/(\ufffd" and not last.isspace())
+            flags[1].append(last == "\ufffd")
+            flags[2].append(bool(word) and word[0].isalpha() and word[0].islower() and not "\u3400" <= word[0] <= "\u9fff")
+        p = Places(part)
+        ends = np.flatnonzero(p.last)
+        short = p.nth[ends] < 2  # where texts begin they do not end, so only a plain word itself tells
+        small = np.array(flags[2][first:])[p.text[ends]] if len(ends) else short
+        for kind, at, found in p.contexts(ends):
+            kept = ~np.isin(at, ends[short]) if kind != "1" else ~short | small
+            owners.append(first + p.text[at[kept]])
+            kinds.append(np.full(int(kept.sum()), ord(kind), np.uint8))
+            hashes.append(found[kept])
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    order = np.argsort(owner, kind="stable")
+    sizes = np.bincount(owner, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+    kind = pa.array([chr(k) for k in np.concatenate(kinds)[order]] if owners else [], pa.string())
+    values = pa.StructArray.from_arrays([kind, pa.array(np.concatenate(hashes)[order] if owners else np.zeros(0, np.int64))], names=["kind", "context"])
+    return flags, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 # --- ceilings --------------------------------------------------------------------------------------------------------------
 
 
 def ceilings(lengths: DataFrame) -> DataFrame:
-    """(source, measure, length, exact): lengths at or just under a limit, from (source, measure, length, words) of all texts.
+    """(source, measure, length, exact, odds): lengths at or just under a limit, from (source, measure, length, words) of all texts.
 
     Texts with equal words count once, so that copies of one text make no ceiling. ``exact`` is true for a length at which a
-    source piles up by itself, false for one of the dozen lengths below the longest of a pile. The window runs over the
-    histogram, which has at most one row for each length of a source.
+    source piles up by itself, false for one of the dozen lengths below the longest of a pile. ``odds`` is how many times more texts
+    there are than lengths around lead to expect (of which less than half a text counts as half). The window runs over the histogram,
+    which has at most one row for each length of a source.
     """
     histogram = lengths.distinct().groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("source", "measure")
@@ -220,33 +271,71 @@ def ceilings(lengths: DataFrame) -> DataFrame:
     )
     under = F.explode(F.sequence(F.col("length") - (WORD_SPAN - 1), F.col("length"))).alias("length")
     return (
-        exact.select("source", "measure", "length", F.lit(True).alias("exact"))
-        .unionByName(edge.select("source", "measure", under, F.lit(False).alias("exact")))
+        exact.select("source", "measure", "length", F.lit(True).alias("exact"), (F.col("n") / F.greatest("expected", F.lit(0.5))).alias("odds"))
+        .unionByName(edge.select("source", "measure", under, F.lit(False).alias("exact"), (F.col("last") / F.greatest("above", F.lit(0.5))).alias("odds")))
         .groupBy("source", "measure", "length")
-        .agg(F.max("exact").alias("exact"))
+        .agg(F.max("exact").alias("exact"), F.max("odds").alias("odds"))
     )
 
 
 # --- near-copies -----------------------------------------------------------------------------------------------------------
 
 
+@cache
+def _letters() -> np.ndarray:
+    """By code point: 1 for what words are made of (letters, marks, digits), 2 for Chinese characters, which are words, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for value, form in ((1, r"[\p{L}\p{M}\p{N}_]+"), (2, r"\p{Han}+")):
+        for m in regex.finditer(form, every):
+            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = value
+    return out
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number modulo 2 ** 64, and of its inverse."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))]) for x in (_MIX[0], np.uint64(pow(int(_MIX[0]), -1, 1 << 64))))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, numbers of texts) of all words of the texts, in lower case, in order: polynomials of their code points."""
+    joined = "\n".join(texts).lower()
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _letters()[points]
+    start = (kind == 2) | ((kind == 1) & (np.concatenate([[0], kind[:-1]]) != 1))
+    end = (kind == 2) | ((kind == 1) & (np.concatenate([kind[1:], [0]]) != 1))
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    up, down = _powers(1 << max(4, len(points).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(points.astype(np.uint64) * up[: len(points)])])
+        h = (sums[last] - sums[first]) * down[first]
+        h = (h ^ (h >> np.uint64(31))) * _MIX[1]
+        h ^= h >> np.uint64(29)
+    lengths = np.array([len(t) for t in texts])
+    if len(joined) != lengths.sum() + len(texts) - 1:  # lower case made a text longer
+        lengths = np.array([len(t.lower()) for t in texts])
+    return h, np.searchsorted(np.cumsum(lengths + 1), first, side="right")
+
+
 def shingled(looks_of_batch: list[str]) -> tuple[list[int], pa.ListArray]:
     """For each text a hash of all its words in order, and the hashes of its word shingles in the order in which they first
     occur. A text with fewer words than a shingle has none."""
-    words = [_PLAIN.findall(text.lower()) for text in looks_of_batch]
-    flat = np.fromiter((word_hash(w) for ws in words for w in ws), np.uint64, sum(map(len, words)))
-    whole, shingles, start = [], [], 0
-    with np.errstate(over="ignore"):
-        for ws in words:
-            own = flat[start : start + len(ws)]
-            start += len(ws)
-            n = len(own) - SHINGLE_WORDS + 1
-            whole.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-            rolled = own[: max(n, 0)].copy()
+    whole, shingles = [], []
+    for _, texts in in_parts(looks_of_batch):
+        h, owner = word_hashes(texts)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        n = max(0, len(h) - SHINGLE_WORDS + 1)
+        with np.errstate(over="ignore"):
+            rolled = h[:n].copy()
             for k in range(1, SHINGLE_WORDS):
-                rolled = rolled * _MIX[2] + own[k : n + k] if n > 0 else rolled
-            _, first = np.unique(rolled, return_index=True)
-            shingles.append(rolled[np.sort(first)].view(np.int64))
+                rolled = rolled * _MIX[2] + h[k : n + k]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            whole.append(xxhash.xxh64_intdigest(h[lo:hi].tobytes()) - (1 << 63))
+            own = rolled[lo : max(lo, hi - SHINGLE_WORDS + 1)]
+            _, first = np.unique(own, return_index=True)
+            shingles.append(own[np.sort(first)].view(np.int64))
     ends = np.cumsum([0, *map(len, shingles)], dtype=np.int32)
     return whole, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int64)))
 
@@ -263,16 +352,14 @@ MEASURED = "doc long, source string, chars int, bytes int, words long, shingles
 
 def measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All that is known of each text by itself, from (doc, source, text, look)."""
-    kinds = pa.list_(pa.struct([("kind", pa.string()), ("context", pa.int64())]))
     for batch in batches:
         texts = batch.column(2).to_pylist()
         whole, shingles = shingled(batch.column(3).to_pylist())
-        ends = [closing(t) for t in texts]
-        flags = [pa.array([e[i] for e in ends], pa.bool_()) for i in range(3)]
+        flags, contexts = closings(texts)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array(map(len, texts), pa.int32()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int32()),
-                pa.array(whole, pa.int64()), shingles, *flags, pa.array([e[3] for e in ends], kinds),
+                pa.array(whole, pa.int64()), shingles, *[pa.array(f, pa.bool_()) for f in flags], contexts,
             ],
             names=["doc", "source", "chars", "bytes", "words", "shingles", "marked", "broken", "small", "contexts"],
         )
@@ -280,21 +367,23 @@ def measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, n, band): a hash for each band of the min-hash signature of each (doc, shingles); n is the number of shingles."""
-    seeds = np.random.default_rng(5).integers(1, 1 << 62, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    half = BANDS * BAND_ROWS // 2  # each 64-bit hash serves as two of 32 bits
+    seeds = np.random.default_rng(5).integers(1, 1 << 62, (2, half), dtype=np.uint64)
     for batch in batches:
         docs, sizes, bands = [], [], []
         for doc, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.asarray(values.values).view(np.uint64)
             if not len(own):
                 continue
-            lowest = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+            lowest = np.full((half, 2), np.iinfo(np.uint32).max, np.uint32)
             with np.errstate(over="ignore"):
                 for at in range(0, len(own), 4096):
                     mixed = own[at : at + 4096, None] * (seeds[0] | np.uint64(1)) + seeds[1]
                     mixed ^= mixed >> np.uint64(29)
                     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-                    np.minimum(lowest, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=lowest)
-                signature = lowest.reshape(BANDS, BAND_ROWS)
+                    mixed ^= mixed >> np.uint64(31)
+                    np.minimum(lowest, mixed.view(np.uint32).reshape(*mixed.shape, 2).min(axis=0), out=lowest)
+                signature = lowest.reshape(BANDS, BAND_ROWS).astype(np.uint64)
                 band = (signature * (np.uint64(0x100000001B3) ** np.arange(1, BAND_ROWS + 1, dtype=np.uint64))).sum(axis=1)
                 band = band * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
             docs += [doc] * BANDS
@@ -448,22 +537,38 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     measure = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes")]))
     lengths = measured.select("doc", "source", "words", "marked", measure.alias("m")).select("doc", "source", "words", "marked", "m.*")
     limits = materialise(ceilings(lengths.select("source", "measure", "length", "words")), "limits")
-    at_limit = lengths.join(limits, ["source", "measure", "length"]).where(F.col("exact") | ~F.col("marked")).select("doc").distinct()
+    limit = ["source", "measure", "length"]
+    piled = lengths.join(limits, limit).where(F.col("exact") | ~F.col("marked"))
+    tails = piled.groupBy(*limit).agg(F.avg(F.col("marked").cast("int")).alias("marked_piled"))
+    piled = piled.join(tails, limit).groupBy("doc", "source", "marked").agg(F.max(F.struct("odds", "marked_piled")).alias("m")).select("doc", "source", "marked", "m.*")
+    # a mark tells little where texts at the limit have one as often as others, since what cut them put it there
+    others = measured.join(piled.select("doc"), "doc", "left_anti").groupBy("source").agg(F.avg(F.col("marked").cast("int")).alias("marked_else"))
+    usual, seldom = F.coalesce("marked_else", F.lit(MARKED)), F.lit(1 - MARKED)
+    mark = (usual + seldom) / (usual + F.col("marked_piled") + 2 * seldom)
+    lack = (1 - usual + seldom) / (2 - usual - F.col("marked_piled") + 2 * seldom)
+    # neither do the last words where many texts of the source have them
+    last = measured.select("doc", "source", F.get(F.filter("contexts", lambda c: c["kind"] == "3"), F.lit(0))["context"].alias("last"))
+    footers = last.groupBy("source", "last").agg(F.count("*").alias("n")).join(last.groupBy("source").agg(F.count("*").alias("all")), "source")
+    footers = footers.where((F.col("n") >= CEILING_TEXTS) & (F.col("n") >= FOOTER_SHARE * F.col("all"))).select("source", "last", F.lit(True).alias("footer"))
+    piled = piled.join(others, "source", "left").join(last.drop("source"), "doc").join(footers, ["source", "last"], "left")
+    piled = piled.select("doc", "odds", F.when(F.col("marked"), mark).otherwise(lack).alias("mark"), F.coalesce("footer", F.lit(False)).alias("footer"))
+    piled = materialise(piled, "piled")
 
     # closing words: the finals of texts below any ceiling count as ends of their contexts
+    scored = measured.join(piled, "doc", "left").select("doc", "odds", "mark", "footer", "broken", "small", "marked", F.explode_outer("contexts").alias("c"))
+    scored = scored.select("doc", "odds", "mark", "footer", "broken", "small", "marked", "c.*").withColumn("free", F.when(F.col("odds").isNull(), 1).otherwise(0))
+    finals = materialise(scored.where("context IS NOT NULL").groupBy("context").agg(F.sum("free").alias("finals")), "finals")
     places = docs.select("text").mapInArrow(count_contexts, "context long, places long, ends long")
-    free = measured.join(at_limit, "doc", "left_anti")
-    scored = free.select("doc", "broken", "small", "marked", F.explode_outer("contexts").alias("c")).select("doc", "broken", "small", "marked", "c.*")
-    finals = scored.groupBy("context").agg(F.count("*").alias("finals"))
+    places = places.join(finals.select("context"), "context", "left_semi")  # most contexts of a corpus end no text
     known = places.groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
     known = materialise(finals.join(known, "context", "left").na.fill(0, ["places", "ends"]), "contexts")
-    others = F.col("finals") - 1
+    others = F.col("finals") - F.col("free")
     share = (F.col("ends") + others) / (F.col("places") + others)
     seen = F.col("places") + others >= 5
     kind = F.col("kind")
     best = (
         scored.join(known, "context", "left")
-        .groupBy("doc", "broken", "small", "marked")
+        .groupBy("doc", "odds", "mark", "footer", "broken", "small", "marked")
         .agg(
             F.max(F.when(seen & kind.isin("1", "2", "3"), F.struct(kind.alias("level"), share.alias("share")))).alias("best"),
             F.max(F.when(seen & kind.isin("v", "w"), share)).alias("around_names"),
@@ -479,9 +584,19 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     ends_well = F.coalesce(F.col("around_names") >= CLOSING_SHARE, F.lit(False)) | F.coalesce(
         F.col("last_line") >= LAST_LINE_SHARE, F.lit(False)
     )
-    bound = F.when(F.col("level") == "1", CLOSING_SHARE / 5).otherwise(CLOSING_SHARE)  # one word alone says little
-    goes_on = F.coalesce(F.col("share") < bound, F.lit(False)) | broken_word
-    open_end = best.where(F.col("broken") | (~F.col("marked") & goes_on & ~ends_well)).select("doc")
+    share = F.coalesce(F.when(F.col("level") == "1", 5 * F.col("share")).otherwise(F.col("share")), F.lit(0.5))  # one word alone says little
+    by_words = F.when(ends_well, F.greatest(share, F.lit(0.5))).when(broken_word, 0.0).otherwise(F.least(share, F.lit(1.0)))
+    # at a limit both the words and what closes the others count, as far as either tells anything
+    said = F.when(F.col("footer") | F.col("marked"), 0.5).otherwise(F.least(by_words, F.lit(0.9)))
+    both = said * F.col("mark") / (said * F.col("mark") + (1 - said) * (1 - F.col("mark")))
+    alone = F.when(F.col("marked"), MARKED).otherwise(by_words)
+    terminal = F.when(F.col("broken"), 0.0).when(F.col("odds").isNotNull(), F.least(both, alone)).otherwise(alone)
+    # a text goes on if the odds that its end is none, times those of its length, exceed those of a share at the bound
+    bound = (1 - CLOSING_SHARE) / CLOSING_SHARE
+    judged = best.withColumn("terminal", terminal)
+    goes_on = lambda odds: odds * (1 - F.col("terminal")) > bound * F.col("terminal")
+    open_end = judged.where(goes_on(F.lit(1.0))).select("doc")
+    at_limit = judged.where("odds IS NOT NULL").where(goes_on(F.col("odds"))).select("doc")
 
     # near-copies among different texts; texts with equal words are one
     each = words.groupBy("words").agg(F.min("doc").alias("doc")).join(measured.select("doc", "shingles"), "doc")
@@ -491,8 +606,8 @@ def judged_documents(documents: DataFrame) -> DataFrame:
 
     evidence = (
         ended.withColumn("evidence", F.lit("1 copy"))
-        .unionByName(at_limit.withColumn("evidence", F.lit("2 ceiling")))
-        .unionByName(open_end.withColumn("evidence", F.lit("3 closing")))
+        .unionByName(open_end.withColumn("evidence", F.lit("2 closing")))
+        .unionByName(at_limit.withColumn("evidence", F.lit("3 ceiling")))
         .groupBy("doc")
         .agg(F.min("evidence").alias("evidence"))
     )

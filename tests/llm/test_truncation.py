@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 
 from palimpsest.llm import truncation as t
@@ -42,7 +43,7 @@ def test_finds_planted_cuts(spark):
     extra = [[900, None, "mail"], [901, "", "mail"], [902, " \n ", "mail"], [903, "Ok", None], [904, "Ann painted the red boat before day 3 of the season. " * 2_000, "notes"]]
     judged = {r.doc_id: r for r in t.judged_documents(spark.createDataFrame(rows(docs + extra), SCHEMA)).collect()}
     assert {i for i, r in judged.items() if r.cut} == cut
-    assert judged[531].evidence == "copy" and judged[520].evidence == "closing" and judged[400].evidence == "ceiling"
+    assert judged[531].evidence == "copy" and judged[520].evidence == "closing" and judged[400].evidence in ("closing", "ceiling")
     assert not {900, 901, 902} & set(judged) and {903, 904} <= set(judged)
 
 
@@ -73,8 +74,37 @@ def test_near_copies_match_brute_force(spark):
 
 
 def test_classes():
-    assert t.classes("Ann paid 12.50 for REQ-4x, see https://a.b/c #tag\n\nEND 世界") == ["Xx", "paid", "0", "for", "ID", ",", "see", "URL", "TAG", "¶", "END", "世", "界"]
-    assert t.classes("") == []
+    found = [t.word_class(w) for w in t._WORD.findall("Ann paid 12.50 for REQ-4x, see https://a.b/c #tag END 世界")]
+    assert found == ["Xx", "paid", "0", "for", "ID", ",", "see", "URL", "TAG", "END", "世", "界"]
+
+
+def contexts(p, at):
+    return {(kind, int(i) if len(at) > 1 else 0, int(h)) for kind, where, hashes in p.contexts(np.array(at)) for i, h in zip(where, hashes, strict=True)}
+
+
+TEXTS = ["Ann saw it.\n\nKind regards,\nBob Klavik", "世界上的人很多，他们来自各地", "one", "", "x " * 3_000 + "\nsee you", "a b\n" + "y " * 5_000 + "z", "Q\r\n\r\nwe met the old friends", "a b c\n" + "w" * 5_000]
+
+
+def test_contexts_do_not_depend_on_other_texts():
+    together = t.Places(TEXTS)
+    for i, text in enumerate(TEXTS):
+        alone = t.Places([text])
+        own = np.flatnonzero((together.text == i) & ~together.start)
+        assert len(own) == len(np.flatnonzero(~alone.start))
+        if len(own):
+            first = int(own[0]) - int(np.flatnonzero(~alone.start)[0])
+            assert contexts(together, own) == {(k, i + first if len(own) > 1 else 0, h) for k, i, h in contexts(alone, np.flatnonzero(~alone.start))}
+
+
+def test_closing_contexts_are_those_of_the_whole_text():
+    flags, found = t.closings(TEXTS)
+    for text, marked, broken, small, got in zip(TEXTS, *flags, found.to_pylist(), strict=True):
+        p = t.Places([text.rstrip()])
+        last = np.flatnonzero(p.last)
+        want = {(k, h) for k, _, h in contexts(p, last)} if len(last) and p.nth[last[0]] >= 2 else {(k, h) for k, _, h in contexts(p, last) if k == "1" and small} if len(last) else set()
+        assert {(c["kind"], c["context"]) for c in got} == want, text[-40:]
+    assert t.closings(["He left.", "He lef\ufffd", "He lef", "世界"])[0] == [[True, False, False, False], [False, True, False, False], [False, False, True, False]]
+    assert len(t.closing_part("a b c\n" + "w" * 5_000)) == 5_006 and len(t.closing_part("line of six words is here\n" * 1_000)) < 5_000
 
 
 def family(n: int):
