@@ -59,6 +59,8 @@ HAN_LEGAL_FORMS = ("股份有限公司", "有限责任公司", "有限公司", "
 SURNAME_READINGS = {"乜": "nie", "澹": "tan", "单": "shan", "曾": "zeng", "仇": "qiu", "解": "xie", "查": "zha", "区": "ou", "任": "ren", "朴": "piao", "盖": "ge", "员": "yun", "尉": "yu", "秘": "bi", "缪": "miao", "种": "chong"}
 #: Letters that are not an accented form of a basic letter.
 PLAIN_LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
+#: Kinds of forms that spell a whole name: only in these misspellings are looked for.
+WHOLE = ["f", "h"]
 HINTS = [f"h{k}" for k in range(KINDS)]
 _HINT_WORDS = re.compile(r"[㐀-鿿]+|[^\W㐀-鿿]+")
 
@@ -274,7 +276,9 @@ def metric_cells(points: DataFrame) -> DataFrame:
 def near_points(points: DataFrame) -> DataFrame:
     """(memory_space, kind, form_a, form_b), form_a < form_b: different points (memory_space, kind, form) at distance 1, each pair
     once, by an exact join of every cell. Points shorter than ``SHORTEST`` letters have no neighbours."""
-    cells = metric_cells(points.where(F.length("form") >= SHORTEST))
+    points = points.where(F.length("form") >= SHORTEST)
+    several = points.groupBy("memory_space", "kind").agg(F.count("*").alias("n")).where("n > 1")
+    cells = metric_cells(points.join(several.select("memory_space", "kind"), ["memory_space", "kind"], "left_semi"))
     one = cells.select("memory_space", "kind", "cell", F.col("form").alias("form_a"))
     other = cells.select("memory_space", "kind", "cell", F.col("form").alias("form_b"))
     met = one.join(other, ["memory_space", "kind", "cell"]).where(
@@ -412,7 +416,7 @@ def links(known: DataFrame, identifying: list[bool]) -> DataFrame:
 
     # points at distance 1: with hints in common, or names in full where nothing contradicts
     point = points.select("memory_space", F.substring("key", 1, 1).alias("kind"), F.expr("substring(key, 3)").alias("form"), "full", "clear", *[f"{h}_k" for h in HINTS])
-    near = materialise(near_points(point.select(*POINT).distinct()), "near")
+    near = materialise(near_points(point.where(F.col("kind").isin(WHOLE)).select(*POINT).distinct()), "near")
     names = point.where("full AND kind = 'f'")
     side = lambda s: names.select(*[F.col(c) for c in ("memory_space", "kind")], F.col("form").alias(f"form_{s}"), F.col("clear").alias(f"clear_{s}"), *[F.col(f"{h}_k").alias(f"{h}_{s}") for h in HINTS])
     both = near.join(side("a"), ["memory_space", "kind", "form_a"], "left").join(side("b"), ["memory_space", "kind", "form_b"], "left")
