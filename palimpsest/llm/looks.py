@@ -32,8 +32,8 @@ LOOK_ALIKES = """
 """
 #: Format characters that are visible, so they stay.
 VISIBLE_FORMATS = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u08e2"
-#: Characters without any look of their own outside the format category.
-INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
+#: Characters without any look of their own outside the format category; variation selectors are such, too.
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 
 
 @cache
@@ -42,10 +42,13 @@ def look_tables() -> tuple[str, str, dict[str, str]]:
     characters that several stand for. Everything but the fixed values above follows from the Unicode data by rule."""
     latin = {pair[0]: pair[1:] for pair in LOOK_ALIKES.split()}
     single, longer, gone = {}, {}, []
-    for code in range(0x10000):
+    for code in range(0x110000):
         c = chr(code)
         category = unicodedata.category(c)
-        if (category == "Cf" and c not in VISIBLE_FORMATS) or c in INVISIBLE or (category == "Cc" and c not in "\t\n\r"):
+        if category in ("Cn", "Co", "Cs"):
+            continue
+        selector = category == "Mn" and unicodedata.name(c, "").startswith("VARIATION SELECTOR")
+        if (category == "Cf" and c not in VISIBLE_FORMATS) or c in INVISIBLE or selector or (category == "Cc" and c not in "\t\n\r"):
             gone.append(c)
             continue
         if category == "Zs":
@@ -54,7 +57,9 @@ def look_tables() -> tuple[str, str, dict[str, str]]:
             parts = unicodedata.decomposition(c).split()
             tag = parts.pop(0) if parts and parts[0].startswith("<") else ""
             plain = "".join(chr(int(p, 16)) for p in parts)
-            same = tag in ("<wide>", "<narrow>", "<noBreak>") or (
+            upright = tag == "<font>" and unicodedata.name(c).startswith(("MATHEMATICAL SANS-SERIF ", "MATHEMATICAL MONOSPACE "))
+            upright = upright and not {"BOLD", "ITALIC"} & set(unicodedata.name(c).split())
+            same = tag in ("<wide>", "<narrow>", "<noBreak>") or upright or (
                 tag == "<compat>" and (0x2E80 <= code <= 0x2FDF or 0x2160 <= code <= 0x217F or 0xFB00 <= code <= 0xFB06)
             )
             if (tag and same) or (plain and not tag):  # the untagged decompositions are canonical: the same character
@@ -77,7 +82,7 @@ def looks(value: Column) -> Column:
     for c, several in longer.items():
         spelled = F.replace(spelled, F.lit(c), F.lit(several))
     spelled = F.when(value.rlike("[" + "".join(longer) + "]"), spelled).otherwise(value)
-    mapped = F.translate(spelled, from_, to)
+    mapped = F.when(value.rlike(r"[^\t\n\r\x20-\x7e]"), F.translate(spelled, from_, to)).otherwise(value)  # basic letters stay
     return F.btrim(F.regexp_replace(mapped, "[ \\t]{2,}|\\t", " "), F.lit(" \t\n\r"))
 
 
@@ -100,9 +105,12 @@ FROM {values} v JOIN {classes} c ON v.look COLLATE UNICODE = c.look
 def look_classes(records: DataFrame, value: str = "value") -> DataFrame:
     """(digest, canonical): the values that have a double, i.e. another string that looks the same, with the canonical member
     of their class. The canonical member is one that already is in mapped form if there is any, then the shortest, then the
-    smallest. ``digest`` is the SHA-256 of the value. Null values and those without visible characters are in no class."""
-    values = records.select(F.col(value).alias("value"), looks(F.col(value)).alias("look")).where("look <> ''")
-    values = values.withColumn("digest", _digest(F.col("value")))
+    smallest. ``digest`` is the SHA-256 of the value. Null values and those without visible characters are in no class.
+
+    Equal values become one before anything is compared, so a value that many records share is no hot key; they are mapped and
+    written once, and read for the grouping and for the join back."""
+    values = records.select(F.col(value).alias("value"), _digest(F.col(value)).alias("digest")).where("value IS NOT NULL").distinct()
+    values = materialise(values.withColumn("look", looks(F.col("value"))).where("look <> ''"), "values")
     spark = records.sparkSession
     classes = spark.sql(CLASSES, values=values)
     return spark.sql(BACK, values=values, classes=classes)

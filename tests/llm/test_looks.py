@@ -13,7 +13,7 @@ def test_values_that_look_the_same(spark):
     assert not set(got[len(SAME) + 1 :]) & {"Ann Lee"} and len(set(got[len(SAME) + 1 :])) == 5
 
 
-PAIRS = [("ﬁsh", "fish"), ("K9", "K9"), ("⽔", "水"), ("理", "理"), ("x‑y", "x-y"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("é", "é"), ("Ⅻ", "XII"), ("ў", "y̆")]
+PAIRS = [("ﬁsh", "fish"), ("K9", "K9"), ("⽔", "水"), ("理", "理"), ("x‑y", "x-y"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("é", "é"), ("Ⅻ", "XII"), ("ў", "y̆"), ("𝖠nn", "Ann"), ("A\U000e0041nn", "Ann"), ("葛\U000e0100", "葛"), ("\U0002f804", "你"), ("a\x00b", "ab")]
 
 
 @pytest.mark.parametrize(("a", "b"), PAIRS)
