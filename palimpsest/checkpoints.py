@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,15 @@ _written: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary folder on a single machine, and an error on a
+    cluster, whose executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.palimpsest.scratch", None)
         if not folder:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master!r})")
             folder = "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
             spark.conf.set("spark.palimpsest.scratch", folder)
     return folder.rstrip("/")

@@ -2,18 +2,21 @@
 
 The feed is cut into batches by ranges of its leading order column, and the batches are processed backwards: in a batch only
 keys that no newer batch has resolved are kept (an anti-join), and each of them is resolved for good by the newest change of
-the batch, as an image or a tombstone. Arrival order therefore never matters, repeated deliveries collapse, and old changes of
-keys that are already resolved are dropped before they are compared. Base rows that no change touches are appended at the end.
+the batch, as an image or a tombstone. Arrival order therefore never matters, and repeated deliveries collapse. The changes of a
+batch become one a key inside the tasks before anything is shuffled, so a key with very many changes is no hot key; then the
+anti-join drops the keys that are resolved. Every batch writes what it resolves, once. Base rows that no change touches are
+appended at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.checkpoints import forget, materialise
+from palimpsest.checkpoints import materialise
 from palimpsest.functions.ids import clean_id
 
 
@@ -42,7 +45,7 @@ def newest_changes(
     for k in keys:
         usable = usable.where(F.col(k).isNotNull())
     lead = F.col(order[0])
-    resolved: DataFrame | None = None
+    parts: list[DataFrame] = []
     upper: float | None = None
     for lower in [*batch_bounds(usable, order[0], batches), None]:
         batch = usable
@@ -51,16 +54,11 @@ def newest_changes(
         if lower is not None:
             batch = batch.where(lead >= lower)
         newest = batch.groupBy(*keys).agg(F.max(F.struct(*order, *carry)).alias("__newest")).select(*keys, "__newest.*")
-        if resolved is None:
-            whole = newest
-        else:
-            whole = resolved.unionByName(newest.join(resolved.select(*keys), keys, "left_anti"))
-        if lower is None:
-            return whole
-        before, resolved = resolved, materialise(whole, "resolved")
-        forget(before)
+        if parts:
+            newest = newest.join(reduce(DataFrame.unionByName, parts).select(*keys), keys, "left_anti")
+        parts.append(materialise(newest, "resolved") if lower is not None else newest)
         upper = lower
-    raise AssertionError
+    return reduce(DataFrame.unionByName, parts)
 
 
 def apply_changes(

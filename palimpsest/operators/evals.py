@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.operators.stats import CRITICAL_TASKS
 
 
 def count_failures(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -82,9 +83,49 @@ def suite_summary(cases: DataFrame) -> DataFrame:
 
 
 def settled(spaces: DataFrame, tasks: DataFrame, types: list[str]) -> DataFrame:
-    """(memory_space, settled): spaces without a pending or running task of the given types."""
-    open_ = tasks.where(F.col("task_type").isin(types) & F.col("status").isin("pending", "running")).select("memory_space", F.lit(False).alias("__o")).distinct()
-    return spaces.select("memory_space").distinct().join(open_, "memory_space", "left").select("memory_space", F.coalesce("__o", F.lit(True)).alias("settled"))
+    """(memory_space, settled, n_pending, n_running, n_dead, settled_after_all) of spaces by their tasks of the given types: a space is
+    settled while nothing is pending, failed (it will be tried again) or running. ``settled_after_all`` also passes a space where
+    none of the critical tasks is open, whatever else is."""
+    mine = F.col("task_type").isin(types)
+    count = lambda cond, name: F.count_if(cond).alias(name)
+    status = F.col("status")
+    counted = tasks.groupBy("memory_space").agg(
+        count(mine & status.isin("pending", "failed"), "n_pending"), count(mine & (status == "running"), "n_running"), count(mine & (status == "dead_letter"), "n_dead"),
+        count(F.col("task_type").isin(CRITICAL_TASKS) & status.isin("pending", "failed", "running"), "n_critical"),
+    )
+    known = spaces.select("memory_space").distinct().join(counted, "memory_space", "left").na.fill(0)
+    done = (F.col("n_pending") == 0) & (F.col("n_running") == 0)
+    return known.select("memory_space", done.alias("settled"), "n_pending", "n_running", "n_dead", (done | (F.col("n_critical") == 0)).alias("settled_after_all"))
+
+
+def state_failures(expected: DataFrame, snapshots: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(case_id, scope, failure) of scopes (case_id, scope, memory_space) without a snapshot, or with dead tasks."""
+    there = snapshots.select("memory_space").distinct().withColumn("__there", F.lit(True))
+    dead = tasks.where("status = 'dead_letter'").select("memory_space").distinct().withColumn("__dead", F.lit(True))
+    e = expected.select("case_id", "scope", "memory_space").distinct().join(there, "memory_space", "left").join(dead, "memory_space", "left")
+    said = F.when(F.col("__there").isNull(), "missing snapshot").when(F.col("__dead"), "has dead_letter tasks")
+    return e.where(said.isNotNull()).select("case_id", "scope", said.alias("failure"))
+
+
+def result_failures(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, failure) of recalls of several subjects: ``expected`` (query_id, expected_status, expected_result_count) against
+    ``results`` (query_id, position, status). Queries that expect no number are not checked; of the others, the number must be met,
+    and every result must have the expected status."""
+    want = expected.where("expected_result_count IS NOT NULL")
+    got = results.groupBy("query_id").agg(F.count("*").alias("got"))
+    number = want.join(got, "query_id", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got <> expected_result_count")
+    number = number.select("query_id", F.format_string("expected %d recall results, got %d", F.col("expected_result_count").cast("long"), F.col("got").cast("long")).alias("failure"))
+    each = results.join(want, "query_id").where(F.coalesce("status", F.lit("")) != F.col("expected_status"))
+    said = F.format_string("result[%d] expected status %s, got %s", F.col("position").cast("long"), "expected_status", F.coalesce("status", F.lit("")))
+    return number.unionByName(each.select("query_id", said.alias("failure")))
+
+
+def failure_index(failures: DataFrame) -> DataFrame:
+    """(failure, n, case_ids) of failed cases (case_id, failure): how many cases fail so, and the first ten of them by id."""
+    cases = failures.select("failure", "case_id").distinct()
+    first = Window.partitionBy("failure").orderBy("case_id")
+    shown = cases.withColumn("nth", F.row_number().over(first)).where("nth <= 10").groupBy("failure").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
+    return cases.groupBy("failure").agg(F.count("*").alias("n")).join(shown, "failure")
 
 
 def chosen_suites(suites: DataFrame, requested: DataFrame | None = None, failed_before: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.checkpoints import forget, materialise
+from palimpsest.functions import text
 
 #: Relation types in the order in which they are followed, with the memories that each may add, and the total.
 BUDGETS = {"updates": 8, "supports": 8, "contradicts": 6, "related_to": 6}
@@ -49,9 +50,12 @@ def normalised(relations: DataFrame, memories: DataFrame, order: list[str]) -> D
     return r.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def sparsified(edges: DataFrame, frontier: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+def sparsified(edges: DataFrame, frontier: DataFrame, ranks: DataFrame | None = None, rank: str | None = None) -> DataFrame:
     """Edges of which each frontier memory keeps one ``related_to``: of the greatest weight (null is 0), then the best candidate
-    rank of the other end (a memory without a rank comes last), then the smallest id. An edge between two frontier memories belongs to the one it comes from."""
+    rank of the other end (a memory without a rank comes last), then the smallest id. An edge between two frontier memories belongs to the one it comes from.
+
+    Ranks come from ``ranks`` (memory_space, memory_id, rank), or are the column ``rank`` of the edges where candidates were ranked
+    for each frontier memory by itself."""
     f = frontier.select("memory_space", "memory_id", F.lit(True).alias("in")).distinct()
     e = edges.join(f.withColumnsRenamed({"memory_id": "from_id", "in": "__a"}), ["memory_space", "from_id"], "left")
     e = e.join(f.withColumnsRenamed({"memory_id": "to_id", "in": "__b"}), ["memory_space", "to_id"], "left")
@@ -60,7 +64,7 @@ def sparsified(edges: DataFrame, frontier: DataFrame, ranks: DataFrame | None =
     if ranks is not None:
         e = e.join(ranks.select("memory_space", F.col("memory_id").alias("__other"), F.col("rank").alias("__rank")), ["memory_space", "__other"], "left")
     else:
-        e = e.withColumn("__rank", F.lit(None).cast("int"))
+        e = e.withColumn("__rank", F.col(rank) if rank else F.lit(None).cast("int"))
     best = Window.partitionBy("memory_space", "__of").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), F.asc_nulls_last("__rank"), "edge_id")
     kept = e.where("__of IS NOT NULL").withColumn("__n", F.row_number().over(best)).where("__n = 1")
     return kept.select(*edges.columns).unionByName(e.where("__of IS NULL").select(*edges.columns))
@@ -128,10 +132,13 @@ def frontiers(memories: DataFrame, n: int = FRONTIER) -> DataFrame:
     """(memory_space, entity_key, memory_id, position): the newest active memories of every entity, or the newest of all where
     none is active; at most ``n``."""
     w = Window.partitionBy("memory_space", "entity_key")
-    live = F.max(F.col("status") == "active").over(w)
-    usable = memories.withColumn("__live", live).where(~F.col("__live") | (F.col("status") == "active"))
-    order = w.orderBy(F.desc_nulls_last("updated_at"), "memory_id")
-    return usable.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).select("memory_space", "entity_key", "memory_id", "position")
+    active = F.coalesce(F.col("status") == "active", F.lit(False))
+    # active ones first, so that the first n of an entity are enough to tell; the limit is pushed below the shuffle
+    order = w.orderBy(F.desc("__active"), F.desc_nulls_last("updated_at"), "memory_id")
+    first = memories.select("memory_space", "entity_key", "memory_id", "updated_at", active.alias("__active"))
+    first = first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
+    usable = first.withColumn("__live", F.max("__active").over(w)).where(~F.col("__live") | F.col("__active"))
+    return usable.select("memory_space", "entity_key", "memory_id", "position")
 
 
 def rebuilt_local(edges: DataFrame, touched: DataFrame, judged: DataFrame) -> DataFrame:
@@ -230,12 +237,48 @@ def evidence_roles(held: DataFrame, edges: DataFrame) -> DataFrame:
     among = near.join(_ends(edges), ["memory_space", "memory_id"]).join(other, ["request", "memory_space", "other"], "left_semi")
     types = among.groupBy("request", "memory_id").agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
     out = held.join(types, ["request", "memory_id"], "left").withColumn("edge_types", F.coalesce("edge_types", F.array().cast("array<string>")))
-    has = lambda t: F.array_contains("edge_types", t)
-    role = (
+    return out.select("request", "memory_id", _role(F.col("edge_types")).alias("role"), F.array_join("edge_types", ",").alias("edge_types"))
+
+
+def _role(types: Column) -> Column:
+    has = lambda t: F.array_contains(types, t)
+    return (
         F.when(F.col("hop") == 0, "seed").when(has("contradicts"), "conflicting").when(has("updates"), "historical_or_updated")
         .when(has("supports"), "supporting").when(has("related_to"), "background_only").otherwise("expanded")
     )
-    return out.select("request", "memory_id", role.alias("role"), F.array_join("edge_types", ",").alias("edge_types"))
+
+
+def evidence_payload(held: DataFrame, edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """(request, memory_id, status, role, relation_types, relation_edges, text): what a composer is given of every held memory. Its
+    relations to other held memories come in the order of their time, then id, each (type, ends, reason, weight) once; types in the
+    order in which they first occur. Provenance is no relation. A request holds at most ``TOTAL`` memories, so the arrays are bounded."""
+    near = held.select("request", "memory_space", "memory_id", "hop").distinct()
+    known = edges.where(F.col("edge_type").isin(list(BUDGETS)) & (F.col("from_kind") == "memory") & (F.col("to_kind") == "memory") & (F.col("from_id") != F.col("to_id")))
+    among = near.select("request", "memory_space", F.col("memory_id").alias("from_id")).join(known, ["memory_space", "from_id"])
+    among = among.join(near.select("request", "memory_space", F.col("memory_id").alias("to_id")), ["request", "memory_space", "to_id"], "left_semi")
+    once = among.groupBy("request", "edge_type", "from_id", "to_id", "reason", "weight").agg(F.min(F.struct("created_at", "edge_id")).alias("at"))
+    edge = F.struct("edge_type", "from_id", "to_id", "reason", "weight")
+    ends = once.select("request", "at", edge.alias("edge"), F.explode(F.array("from_id", "to_id")).alias("memory_id"))
+    told = ends.groupBy("request", "memory_id").agg(F.array_sort(F.collect_list(F.struct("at", "edge"))).alias("l"))
+    told = told.select("request", "memory_id", F.col("l")["edge"].alias("relation_edges"))
+    out = near.join(told, ["request", "memory_id"], "left").withColumn("relation_types", F.coalesce(F.array_distinct(F.col("relation_edges")["edge_type"]), F.array().cast("array<string>")))
+    m = memories.select("memory_space", "memory_id", "status", text.memory_text(F.lit(None).cast("string"), F.col("title"), F.col("summary"), F.col("content")).alias("text"))
+    return out.join(m, ["memory_space", "memory_id"]).select("request", "memory_id", "status", _role(F.col("relation_types")).alias("role"), "relation_types", "relation_edges", "text")
+
+
+def missing_entities(memories: DataFrame, entities: DataFrame) -> DataFrame:
+    """(memory_space, entity_key, n_memories): entity keys that memories name and that do not exist in their space."""
+    named = memories.where("entity_key IS NOT NULL").groupBy("memory_space", "entity_key").agg(F.count("*").alias("n_memories"))
+    return named.join(entities.select("memory_space", "entity_key"), ["memory_space", "entity_key"], "left_anti")
+
+
+def owned_memories(memories: DataFrame, entities: DataFrame) -> DataFrame:
+    """Memories with the ``identity_profile`` of their entity; one whose entity is missing fails the job when it is read, as it must
+    not be judged without (``missing_entities`` reports them beforehand)."""
+    e = entities.select("memory_space", "entity_key", "identity_profile", F.lit(True).alias("__there"))
+    joined = memories.join(e, ["memory_space", "entity_key"], "left")
+    said = F.concat(F.lit("missing entity "), F.coalesce("entity_key", F.lit("null")), F.lit(" of memory "), "memory_id")
+    return joined.withColumn("identity_profile", F.when(F.col("__there"), F.col("identity_profile")).otherwise(F.raise_error(said).cast(e.schema["identity_profile"].dataType))).drop("__there")
 
 
 def short_refs(held: DataFrame, kind: str) -> DataFrame:

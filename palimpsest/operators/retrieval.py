@@ -52,7 +52,7 @@ def _blocks(vectors: DataFrame, ident: str) -> DataFrame:
     many = vectors.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = vectors.join(many, "grp").withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks")))
     packed = placed.groupBy("grp", "block").agg(F.collect_list(F.struct(ident, "vec")).alias("v"))
-    return packed.select("grp", F.col("v")[ident].alias(f"{ident}s"), F.flatten(F.col("v")["vec"]).alias(f"{ident}_flat"))
+    return packed.select("grp", "block", F.col("v")[ident].alias(f"{ident}s"), F.flatten(F.col("v")["vec"]).alias(f"{ident}_flat"))
 
 
 def dense(queries: DataFrame, documents: DataFrame, k: int = OVERSAMPLE, floor: float = DENSE_FLOOR) -> DataFrame:
@@ -65,7 +65,12 @@ def dense(queries: DataFrame, documents: DataFrame, k: int = OVERSAMPLE, floor:
     """
     kinds = [queries.schema["query_id"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()]
     usable = lambda df: df.where(F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull()))
-    pairs = _blocks(usable(queries), "query_id").join(_blocks(usable(documents), "doc_id"), "grp")
+    asked = _blocks(usable(queries), "query_id")
+    # a block of documents goes to every block of queries of its group, so a large group is many keys
+    to = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block")
+    last = asked.groupBy("grp").agg(F.max("block").cast("int").alias("last"))
+    searched = _blocks(usable(documents), "doc_id").drop("block").join(last, "grp").select("grp", "doc_ids", "doc_id_flat", to)
+    pairs = asked.withColumn("block", F.col("block").cast("int")).join(searched, ["grp", "block"])
 
     def unit(flat: pa.Array, n: int) -> np.ndarray:
         m = np.asarray(flat, dtype=np.float64).reshape(n, -1)

@@ -80,7 +80,9 @@ def close_key(selected: pd.Series, keys: pd.Series) -> pd.Series:
         if not key or key in valid or not valid:
             return key or None
         # a key is close if the matching characters make up the share on both sides
-        near = [v for v in valid if SequenceMatcher(None, v, key).ratio() >= KEY_LIKENESS]
+        # their number is at most that of the shorter one, so keys of very different lengths need not be compared
+        able = [v for v in valid if 2 * min(len(v), len(key)) >= KEY_LIKENESS * (len(v) + len(key))]
+        near = [v for v in able if SequenceMatcher(None, v, key).ratio() >= KEY_LIKENESS]
         return near[0] if len(near) == 1 else None
 
     return pd.Series([one(k, v) for k, v in zip(selected, keys, strict=True)], dtype=object)
@@ -91,7 +93,12 @@ def linked(answers: DataFrame, mode: str) -> DataFrame:
     one that is not among the candidate ``keys`` makes a new entity (mode ``write``) or cannot be resolved (``query``), ambiguous
     keys are those among the candidates."""
     nearest = F.pandas_udf(close_key, "string")
-    repaired = answers.withColumn("__key", F.coalesce(nearest("selected", "keys"), F.nullif(F.btrim("selected"), F.lit(""))))
+    own, none = F.nullif(F.btrim("selected"), F.lit("")), F.array().cast("array<string>")
+    keys = F.coalesce("keys", none)
+    # only keys that are unknown are compared, with those of which enough letters can match: a share of 0.94 leaves few edits
+    close = F.filter(keys, lambda k: F.levenshtein(k, own) <= F.ceil((1 - KEY_LIKENESS) * (F.length(k) + F.length(own))))
+    asked = F.when(own.isNotNull() & ~F.array_contains(keys, own), close).otherwise(none)
+    repaired = answers.withColumn("__close", asked).withColumn("__key", F.when(F.size("__close") > 0, F.coalesce(nearest("selected", "__close"), own)).otherwise(own)).drop("__close")
     unknown = F.col("__key").isNotNull() & ~F.array_contains(F.coalesce("keys", F.array().cast("array<string>")), F.col("__key"))
     decision = F.when(unknown, "create_new" if mode == "write" else "cannot_resolve").otherwise(F.col("decision"))
     ambiguous = F.when(~unknown & (F.col("decision") == "ambiguous"), F.array_intersect("ambiguous", "keys"))
@@ -130,6 +137,41 @@ def cross_entity_texts(answers: DataFrame) -> DataFrame:
     return answers.select("request", F.explode(text.distinct_in_order(F.col("texts"), MAX_TEXTS)).alias("text"))
 
 
+def merge_verdicts(answers: DataFrame) -> DataFrame:
+    """Merge judge answers (…, answer) with decision (``merge`` or ``keep_separate``, which is what anything else counts as),
+    survivor_entity_key (null for a blank one), profile (cleaned; null if there is none, or one that names nobody) and judged_reason."""
+    kind = "decision string, survivor_entity_key string, reason string, merged_identity_profile struct<who:string,surface_forms:array<string>,stable_qualifiers:array<string>,definition:string>"
+    parsed = answers.withColumn("__a", F.from_json("answer", kind))
+    profile = clean_profile(F.col("__a.merged_identity_profile"))
+    return parsed.withColumns(
+        {
+            "decision": F.when(F.col("__a.decision") == "merge", "merge").otherwise("keep_separate"),
+            "survivor_entity_key": F.nullif(F.btrim("__a.survivor_entity_key"), F.lit("")),
+            "profile": F.when(F.col("__a.merged_identity_profile").isNotNull() & (profile["who"] != ""), profile),
+            "judged_reason": F.coalesce("__a.reason", F.lit("")),
+        }
+    ).drop("__a", "answer")
+
+
+def answer_verdicts(answers: DataFrame) -> DataFrame:
+    """Answer judge answers (…, answer) with verdict (pass, partial or fail; null where the judge said nothing of these), grounded
+    (true unless said otherwise; null without a verdict) and reason."""
+    parsed = answers.withColumn("__a", F.from_json("answer", "verdict string, grounded boolean, reason string"))
+    verdict = F.when(F.col("__a.verdict").isin("pass", "partial", "fail"), F.col("__a.verdict"))
+    columns = {"verdict": verdict, "grounded": F.when(verdict.isNotNull(), F.coalesce("__a.grounded", F.lit(True))), "reason": F.coalesce("__a.reason", F.lit(""))}
+    return parsed.withColumns(columns).drop("__a", "answer")
+
+
+def composed_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((request, answer, uncertainties), (request, position, memory_id, observation_id, summary, excerpt)) of composer answers
+    (request, answer): the answer as it is, and its citations as rows for ``citations``, in their order. A missing answer is empty."""
+    kind = "answer string, uncertainties array<string>, citations array<struct<memory_id:string,observation_id:string,summary:string,excerpt:string>>"
+    parsed = answers.select("request", F.from_json("answer", kind).alias("a"))
+    none = F.array().cast("array<string>")
+    whole = parsed.select("request", F.coalesce("a.answer", F.lit("")).alias("answer"), F.coalesce("a.uncertainties", none).alias("uncertainties"))
+    return whole, parsed.select("request", F.posexplode("a.citations").alias("position", "c")).select("request", "position", "c.*")
+
+
 def judged_edges(answers: DataFrame) -> DataFrame:
     """Judged relations without those of type ``none``, and without unknown types."""
     return answers.where(F.col("edge_type").isin("supports", "contradicts", "related_to", "updates"))

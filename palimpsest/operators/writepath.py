@@ -86,32 +86,36 @@ def needs_batch_retry(outputs: DataFrame, existing: DataFrame) -> DataFrame:
     return own.where("n > 1 AND free").join(existing, ["memory_space", "entity_key"], "left_anti").select("memory_space", "entity_key")
 
 
-def batch_order(outputs: DataFrame, existing: DataFrame, rounds: int = 20) -> DataFrame:
+def batch_order(outputs: DataFrame, existing: DataFrame) -> DataFrame:
     """``outputs`` (memory_space, entity_key, candidate_id, action, target_id) with the ``round`` in which each may be written.
 
     A refresh, replace or stale waits while its target is a candidate of the same batch that is not written yet and does not
-    exist. Candidates whose turn never comes (they wait for each other, or beyond ``rounds``) are forced in the round after the
-    last, as creations. Each round is one join, whatever the number of entities.
+    exist; so its round is one more than its target's, however long the chain is (found by pointer doubling, a join for each
+    doubling of the length). Candidates whose turn never comes (they wait for each other) are forced in the round after the last,
+    as creations. A candidate has one output. Only counts reach the driver.
     """
     key = ["memory_space", "entity_key"]
     targets = existing.select("memory_space", F.col("memory_id").alias("target_id")).distinct()
     waits_for = outputs.where(F.col("action").isin("refresh", "replace", "stale")).join(targets, ["memory_space", "target_id"], "left_anti")
     names = outputs.select(*key, F.col("candidate_id").alias("target_id")).distinct()
-    waiting = materialise(waits_for.join(names, [*key, "target_id"], "left_semi").select(*key, "candidate_id", "target_id"), "waiting")
-    ready = outputs.join(waiting.select(*key, "candidate_id"), [*key, "candidate_id"], "left_anti")
-    written = ready.select(*key, "candidate_id", F.lit(1).alias("round"))
-    done = materialise(written, "order")
-    for n in range(2, rounds + 1):
-        last = done.where(F.col("round") == n - 1).select(*key, F.col("candidate_id").alias("target_id"))
-        now = waiting.join(last, [*key, "target_id"], "left_semi").join(done, [*key, "candidate_id"], "left_anti")
-        now = materialise(now.select(*key, "candidate_id", F.lit(n).alias("round")), "order")
-        if now.isEmpty():
-            forget(now)
+    waits_for = waits_for.join(names, [*key, "target_id"], "left_semi").groupBy(*key, "candidate_id").agg(F.min("target_id").alias("to"))
+    step = materialise(waits_for.withColumn("n", F.lit(1)), "waiting")
+    waiting = step.select(*key, F.col("candidate_id").alias("to"))
+    left, steps = step.join(waiting, [*key, "to"], "left_semi").count(), 1
+    while left:
+        ahead = step.select(*key, F.col("candidate_id").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
+        step = step.join(ahead, [*key, "to"], "left").select(*key, "candidate_id", F.coalesce("__to", "to").alias("to"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"))
+        step, steps = materialise(step, "waiting"), 2 * steps
+        before, left = left, step.join(waiting, [*key, "to"], "left_semi").count()
+        if left == before and steps >= left:  # all that are left wait for each other
             break
-        done = materialise(done.unionByName(now), "order")
-    out = outputs.join(done, [*key, "candidate_id"], "left")
-    forced = F.col("round").isNull()
-    return out.withColumns({"action": F.when(forced, "create").otherwise(F.col("action")), "round": F.coalesce("round", F.lit(rounds + 1))})
+    done = step.join(waiting, [*key, "to"], "left_anti").select(*key, "candidate_id", (F.col("n") + 1).alias("round"))
+    stuck = step.join(waiting, [*key, "to"], "left_semi").select(*key, "candidate_id", F.lit(True).alias("__stuck"))
+    longest = done.agg(F.coalesce(F.max("round"), F.lit(1)).alias("__longest"))
+    out = outputs.join(done, [*key, "candidate_id"], "left").join(stuck, [*key, "candidate_id"], "left").join(F.broadcast(longest))  # one row
+    forced = F.col("__stuck").isNotNull()
+    rounds = {"action": F.when(forced, "create").otherwise(F.col("action")), "round": F.when(forced, F.col("__longest") + 1).otherwise(F.coalesce("round", F.lit(1)))}
+    return out.withColumns(rounds).drop("__stuck", "__longest")
 
 
 def effective_actions(outputs: DataFrame, memories: DataFrame, batch: DataFrame | None = None) -> DataFrame:
@@ -241,18 +245,13 @@ def survivors(merges: DataFrame) -> DataFrame:
 def merged_entities(memories: DataFrame, entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(memories, entities) after all merges (memory_space, source, target, at): the memories of a source belong to its survivor,
     see ``survivors``; entities that did not survive are gone."""
-    to = materialise(survivors(merges), "merged")
-    return _repointed(memories, entities, to.withColumnRenamed("survivor", "__to"))
-
-
-def merged_one_link(memories: DataFrame, entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(memories, entities) after one link of each source only, to its smallest target; a target that is a source itself is gone,
-    too, so this is right only for merges whose targets are final."""
-    to = merges.where("source <> target").groupBy("memory_space", F.col("source").alias("entity_key")).agg(F.min("target").alias("__to"))
-    return _repointed(memories, entities, to)
+    return repointed(memories, entities, materialise(survivors(merges), "merged"))
 
 
-def _repointed(memories: DataFrame, entities: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repointed(memories: DataFrame, entities: DataFrame, survivors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, entities) after the ``survivors`` (memory_space, entity_key, survivor): memories of an entity that is gone belong to
+    its survivor, and entities that are gone are left out."""
+    to = survivors.withColumnRenamed("survivor", "__to")
     moved = memories.join(to, ["memory_space", "entity_key"], "left").withColumn("entity_key", F.coalesce("__to", "entity_key"))
     return moved.select(*memories.columns), entities.join(to.select("memory_space", "entity_key"), ["memory_space", "entity_key"], "left_anti").select(*entities.columns)
 

@@ -22,10 +22,11 @@ def mention_candidates(frontier: DataFrame, entities: DataFrame, memories: DataF
     named = entities.select("memory_space", "entity_key", F.get(pairs(text.tokens(F.col("display_name"))), F.lit(0)).alias("name")).where("name IS NOT NULL AND display_name <> 'Unknown'")
     said = memories.where("status IS NULL OR status <> 'archived'").select("memory_space", F.col("memory_id").alias("doc_id"), F.col("entity_key").alias("owner"), "updated_at", text.tokens(F.concat_ws(" ", "title", "summary", "content")).alias("w"))
     said = said.select("memory_space", "doc_id", "owner", "updated_at", F.explode(F.array_distinct(pairs(F.col("w")))).alias("name"))
+    # candidates depend on the entity only, so they are ranked before its frontier memories are joined
     met = named.join(said, ["memory_space", "name"]).where("entity_key <> owner")
-    met = met.join(frontier.select("memory_space", "entity_key", "memory_id"), ["memory_space", "entity_key"])
-    scored = met.select("memory_space", F.concat_ws("|", "memory_space", "memory_id").alias("query_id"), "memory_id", "doc_id", F.coalesce("updated_at", F.lit(0.0)).alias("score"))
-    return retrieval.ranked(scored, n).select("memory_space", "memory_id", F.col("doc_id").alias("candidate_id"), "rank")
+    scored = met.select("memory_space", "entity_key", F.concat_ws("|", "memory_space", "entity_key").alias("query_id"), "doc_id", F.coalesce("updated_at", F.lit(0.0)).alias("score"))
+    best = retrieval.ranked(scored, n).select("memory_space", "entity_key", F.col("doc_id").alias("candidate_id"), "rank")
+    return best.join(frontier.select("memory_space", "entity_key", "memory_id"), ["memory_space", "entity_key"]).select("memory_space", "memory_id", "candidate_id", "rank")
 
 
 def rule_judge(pairs: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def cross_entity_repair(memories: DataFrame, entities: DataFrame, edges: DataFra
         F.lit("memory").alias("to_kind"), F.col("candidate_id").alias("to_id"), "edge_type", "weight", "reason", "rank",
     )
     kept = graph.normalised(judged, memories, ["rank", "edge_id"])
-    kept = graph.sparsified(kept, frontier)
+    kept = graph.sparsified(kept, frontier, rank="rank")
     kept = graph.without_historical_conflicts(kept, memories)
     kept = graph.pruned_components(kept)
     return graph.insertable(edges, kept, ["edge_id"])

@@ -54,11 +54,6 @@ def v_marked_observations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("observation_id", "entity_resolution_status", get("$.n_versions").cast("int").alias("n_versions"), get("$.record_markers.round_label").alias("round_label"))
 
 
-@query()
-def v_resolved_identities(spark: SparkSession, d: str) -> DataFrame:
-    return w.resolved_identities(b.drafts(spark, d), b.entities(spark, d))
-
-
 @query(
     over("m_", "v_")
     + """, c AS (SELECT memory_space, entity_key, count(*) AS n_candidates FROM m_ WHERE status = 'active' GROUP BY 1, 2), x AS (SELECT memory_space, entity_key, count(*) AS n_existing FROM m_ WHERE status <> 'active' GROUP BY 1, 2)
@@ -155,22 +150,6 @@ _TO = f"""l AS (SELECT memory_space, {ident("source_entity_key")} AS s, {ident("
 to_ AS (SELECT memory_space, s AS entity_key, min(t) AS target FROM l WHERE s IS NOT NULL AND t IS NOT NULL AND s <> t GROUP BY 1, 2)"""
 
 
-@query(over("m_", "e_") + f", {_TO} SELECT memory_id AS id, coalesce(target, entity_key) AS entity_key FROM m_ LEFT JOIN to_ USING (memory_space, entity_key) UNION ALL SELECT 'entity', entity_key FROM e_ ANTI JOIN to_ USING (memory_space, entity_key)")
-def v_merged_entities(spark: SparkSession, d: str) -> DataFrame:
-    """One link of every merge, as the SQL has it; ``v_surviving_entities`` follows chains to their end."""
-    return _after_merges(*w.merged_one_link(b.memories(spark, d), b.entities(spark, d), _merges(spark, d)))
-
-
-@query()
-def v_surviving_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Memories and entities after the whole merge log, in the order of its times."""
-    return _after_merges(*w.merged_entities(b.memories(spark, d), b.entities(spark, d), _merges(spark, d, F.col("created_at").alias("at"))))
-
-
-def _after_merges(memories: DataFrame, entities: DataFrame) -> DataFrame:
-    return memories.select(F.col("memory_id").alias("id"), "entity_key").unionByName(entities.select(F.lit("entity").alias("id"), "entity_key"))
-
-
 @query(
     over("e_")
     + f""", {_TO}, p AS (SELECT DISTINCT t.memory_space, least(t.entity_key, t.target) AS a, greatest(t.entity_key, t.target) AS b, x.identity_profile AS own, y.identity_profile AS theirs

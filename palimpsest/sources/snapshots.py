@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 #: What tells whether an index fits the configuration, and the priority of rebuilding it.
@@ -20,7 +21,9 @@ class Snapshots:
     def _pointer(self) -> int:
         try:
             return int(self.spark.read.schema("version long").json(f"{self.folder}/pointer").agg(F.max("version")).first()[0] or 0)
-        except Exception:  # noqa: BLE001 - there is no pointer yet
+        except AnalysisException as e:  # anything but a missing path (no access, a broken file) is an error, or a write would start again
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return 0
 
     def read(self) -> DataFrame:

@@ -37,8 +37,11 @@ def test_batch_order(spark):
     kind = "memory_space string, entity_key string, candidate_id string, action string, target_id string"
     rows = [("s", "e", "c1", "create", None), ("s", "e", "c2", "refresh", "c1"), ("s", "e", "c3", "replace", "c2"), ("s", "e", "c4", "stale", "c5"), ("s", "e", "c5", "stale", "c4"), ("s", "e", "c6", "refresh", "m1"), ("s", "e", "c7", "refresh", "gone")]
     existing = spark.createDataFrame([("s", "m1")], "memory_space string, memory_id string")
-    out = {r.candidate_id: (r.round, r.action) for r in w.batch_order(spark.createDataFrame(rows, kind), existing, rounds=6).collect()}
-    assert out == {"c1": (1, "create"), "c2": (2, "refresh"), "c3": (3, "replace"), "c4": (7, "create"), "c5": (7, "create"), "c6": (1, "refresh"), "c7": (1, "refresh")}
+    out = {r.candidate_id: (r.round, r.action) for r in w.batch_order(spark.createDataFrame(rows, kind), existing).collect()}
+    assert out == {"c1": (1, "create"), "c2": (2, "refresh"), "c3": (3, "replace"), "c4": (4, "create"), "c5": (4, "create"), "c6": (1, "refresh"), "c7": (1, "refresh")}
+    chain = [("s", "e", f"c{i}", "refresh", f"c{i - 1}") for i in range(1, 26)] + [("s", "e", "c0", "create", None), ("s", "f", "c3", "refresh", "c2")]
+    out = {(r.entity_key, r.candidate_id): (r.round, r.action) for r in w.batch_order(spark.createDataFrame(chain, kind), existing).collect()}
+    assert out[("e", "c25")] == (26, "refresh") and out[("f", "c3")] == (1, "refresh")  # a chain of any length is followed
 
 
 def test_effective_actions(spark):
