@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.checkpoints import materialise
-from palimpsest.llm.looks import looks
+from palimpsest.llm.looks import look_tables
 from palimpsest.partitions import spread
 
 SHINGLE_WORDS = 5
@@ -196,19 +196,24 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 #: Characters at the end of a text that are looked at first for its closing contexts.
-CLOSING_CHARS = 2_000
+CLOSING_CHARS = 300
+_CUT = regex.compile(r"\s|(?=\p{Han})")
 
 
 def closing_part(text: str) -> str:
-    """The end of a text that all contexts of its last place are in: from the start of a line, with the whole last line and at
-    least three words of the lines before it (which is all that contexts reach back to), or the whole text."""
+    """The end of a text that all contexts of its last place are in, or the whole text. Contexts reach back over five words, and
+    from the first three words of a line over the three before it. The end begins after a blank or before a Chinese character,
+    where no word is cut."""
     at = len(text)
-    while at > 0:
-        at = text.rfind("\n", 0, max(0, at - CLOSING_CHARS)) + 1
-        last = text.rfind("\n", at)
-        if last > at and len(_WORD.findall(text[at:last])) > _AHEAD:
-            break
-    return text[at:]
+    while at > CLOSING_CHARS:
+        at = max(0, at - CLOSING_CHARS)
+        if not (start := _CUT.search(text, at)):
+            continue
+        end = text[start.end() :]
+        line = end.rfind("\n")
+        if len(_WORD.findall(end[:line] if line >= 0 else end)) > _AHEAD + 2:
+            return end
+    return text
 
 
 def closings(texts: list[str]) -> tuple[list[list[bool]], pa.ListArray]:
@@ -292,6 +297,26 @@ def _letters() -> np.ndarray:
     return out
 
 
+_GONE = 0xFFFFFFFF
+
+
+@cache
+def _looks() -> tuple[np.ndarray, regex.Pattern]:
+    """By code point, the one that it looks like (see ``looks``); and what finds characters that look like several."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    from_, to, longer = look_tables()
+    out[[ord(c) for c in from_]] = [ord(c) for c in to] + [_GONE] * (len(from_) - len(to))
+    return out, regex.compile("[" + "".join(longer) + "]")
+
+
+@cache
+def _visible() -> regex.Pattern:
+    """What finds a character that is neither blank nor invisible."""
+    from_, to, _ = look_tables()
+    blank = [c for c, x in zip(from_, to, strict=False) if x == " "] + list(from_[len(to) :])
+    return regex.compile("[^ \\t\\n\\r" + "".join(map(regex.escape, blank)) + "]")
+
+
 @cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of an odd number modulo 2 ** 64, and of its inverse."""
@@ -300,9 +325,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, numbers of texts) of all words of the texts, in lower case, in order: polynomials of their code points."""
-    joined = "\n".join(texts).lower()
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """(hashes, numbers of texts) of all words of the texts in order, in lower case and with every character as the one that it looks
+    like: polynomials of their code points."""
+    looks_like, longer = _looks()
+    texts = [t.lower() for t in texts]
+    texts = [longer.sub(lambda m: look_tables()[2][m[0]].lower(), t) if longer.search(t) else t for t in texts]
+    points = looks_like[np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    seen = points != _GONE
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    bounds = np.concatenate([[0], np.cumsum(seen)])[np.minimum(bounds, len(points))]
+    points = points[seen]
     kind = _letters()[points]
     start = (kind == 2) | ((kind == 1) & (np.concatenate([[0], kind[:-1]]) != 1))
     end = (kind == 2) | ((kind == 1) & (np.concatenate([kind[1:], [0]]) != 1))
@@ -313,17 +345,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = (sums[last] - sums[first]) * down[first]
         h = (h ^ (h >> np.uint64(31))) * _MIX[1]
         h ^= h >> np.uint64(29)
-    lengths = np.array([len(t) for t in texts])
-    if len(joined) != lengths.sum() + len(texts) - 1:  # lower case made a text longer
-        lengths = np.array([len(t.lower()) for t in texts])
-    return h, np.searchsorted(np.cumsum(lengths + 1), first, side="right")
+    return h, np.searchsorted(bounds, first, side="right")
 
 
-def shingled(looks_of_batch: list[str]) -> tuple[list[int], pa.ListArray]:
+def shingled(batch: list[str]) -> tuple[list[int], pa.ListArray]:
     """For each text a hash of all its words in order, and the hashes of its word shingles in the order in which they first
     occur. A text with fewer words than a shingle has none."""
     whole, shingles = [], []
-    for _, texts in in_parts(looks_of_batch):
+    for _, texts in in_parts(batch):
         h, owner = word_hashes(texts)
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         n = max(0, len(h) - SHINGLE_WORDS + 1)
@@ -341,7 +370,7 @@ def shingled(looks_of_batch: list[str]) -> tuple[list[int], pa.ListArray]:
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, words, shingles) of texts (doc, look)."""
+    """(doc, words, shingles) of texts (doc, text)."""
     for batch in batches:
         whole, shingles = shingled(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), shingles], names=["doc", "words", "shingles"])
@@ -351,10 +380,12 @@ MEASURED = "doc long, source string, chars int, bytes int, words long, shingles
 
 
 def measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All that is known of each text by itself, from (doc, source, text, look)."""
+    """All that is known of each text (doc, source, text) with a visible character, by itself."""
     for batch in batches:
+        seen = [bool(_visible().search(t)) for t in batch.column(2).to_pylist()]
+        batch = batch.filter(pa.array(seen, pa.bool_()))
         texts = batch.column(2).to_pylist()
-        whole, shingles = shingled(batch.column(3).to_pylist())
+        whole, shingles = shingled(texts)
         flags, contexts = closings(texts)
         yield pa.RecordBatch.from_arrays(
             [
@@ -529,8 +560,7 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("source", F.lit("")).alias("source"), "text")
     docs = spread(docs.where("text <> ''"), "doc")
-    seen_texts = docs.withColumn("look", looks(F.col("text"))).where("look <> ''")
-    measured = materialise(seen_texts.mapInArrow(measure_rows, MEASURED), "measured")
+    measured = materialise(docs.select("doc", "source", "text").mapInArrow(measure_rows, MEASURED), "measured")
     words = measured.select("doc", "words")
 
     # ceilings
