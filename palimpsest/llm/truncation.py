@@ -397,12 +397,12 @@ def measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n, band): a hash for each band of the min-hash signature of each (doc, shingles); n is the number of shingles."""
+    """(doc, words, n, band): a hash for each band of the min-hash signature of each (doc, words, shingles); n is the number of shingles."""
     half = BANDS * BAND_ROWS // 2  # each 64-bit hash serves as two of 32 bits
     seeds = np.random.default_rng(5).integers(1, 1 << 62, (2, half), dtype=np.uint64)
     for batch in batches:
-        docs, sizes, bands = [], [], []
-        for doc, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        docs, whole, sizes, bands = [], [], [], []
+        for doc, words, values in zip(batch["doc"].to_pylist(), batch["words"].to_pylist(), batch["shingles"], strict=True):
             own = np.asarray(values.values).view(np.uint64)
             if not len(own):
                 continue
@@ -418,10 +418,11 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 band = (signature * (np.uint64(0x100000001B3) ** np.arange(1, BAND_ROWS + 1, dtype=np.uint64))).sum(axis=1)
                 band = band * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
             docs += [doc] * BANDS
+            whole += [words] * BANDS
             sizes += [len(own)] * BANDS
             bands.append(band.view(np.int64))
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(flat)], names=["doc", "n", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(whole, pa.int64()), pa.array(sizes, pa.int32()), pa.array(flat)], names=["doc", "words", "n", "band"])
 
 
 def flattened(lists: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -511,13 +512,17 @@ def compare_blocks(cell: pa.Table) -> pa.Table:
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
-    """(a, b, a_short, b_short): verified pairs among different texts (doc, shingles), by similarity of their shingle sets.
+    """(a, b, a_short, b_short): verified pairs among texts (doc, words, shingles), by similarity of their shingle sets. Texts of equal
+    ``words`` are one, that of the smallest doc; without such a column all are different.
 
     ``a_short``: shingles that b has after the place where a ends, null if a's end is not found in b; ``b_short`` likewise.
     All pairs that meet in a bucket are verified. Buckets of up to ``BUCKET_PAIRS`` texts make theirs by a join; a larger one is
     cut into blocks, each pair of which is one group of rows of bounded size, whatever the size of the bucket.
     """
-    banded = materialise(texts.select("doc", "shingles").mapInArrow(band_rows, "doc long, n int, band long"), "bands")
+    texts = texts if "words" in texts.columns else texts.withColumn("words", F.col("doc"))
+    banded = texts.select("doc", "words", "shingles").mapInArrow(band_rows, "doc long, words long, n int, band long")
+    banded = banded.groupBy("band", "words").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))  # copies meet in all their bands
+    banded = materialise(banded.select("doc", "n", "band"), "bands")
     buckets = banded.groupBy("band").agg(F.count("*").alias("many"), F.sum(F.col("n").cast("long")).alias("total"))
     buckets = materialise(buckets.where("many > 1"), "buckets")
     few = banded.join(buckets.where(F.col("many") <= BUCKET_PAIRS).select("band"), "band").select("band", "doc")
@@ -629,8 +634,7 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     at_limit = judged.where("odds IS NOT NULL").where(goes_on(F.col("odds"))).select("doc")
 
     # near-copies among different texts; texts with equal words are one
-    each = words.groupBy("words").agg(F.min("doc").alias("doc")).join(measured.select("doc", "shingles"), "doc")
-    pairs = materialise(near_copies(materialise(each.select("doc", "shingles"), "texts")), "pairs")
+    pairs = materialise(near_copies(measured.select("doc", "words", "shingles")), "pairs")
     ended = pairs.where("a_short >= 3 AND coalesce(b_short, 0) < 3").select(F.col("a").alias("doc"))
     ended = ended.unionByName(pairs.where("b_short >= 3 AND coalesce(a_short, 0) < 3").select(F.col("b").alias("doc"))).distinct()
 

@@ -126,7 +126,7 @@ def test_pairs_of_a_large_family_match_brute_force(spark, monkeypatch):
     sets = [[tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)] for x in texts]
     held = [set(s) for s in sets]
     after = lambda s, o: len(o) - o.index(s[-2]) - 2 if s[-2] in o else None
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), t.shingled(texts)[1]], names=["doc", "shingles"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), t.shingled(texts)[1]], names=["doc", "words", "shingles"])
     bands = defaultdict(set)
     for rows_ in t.band_rows(iter([batch])):
         for doc, band in zip(rows_["doc"].to_pylist(), rows_["band"].to_pylist(), strict=True):
