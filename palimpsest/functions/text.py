@@ -150,3 +150,64 @@ def fact_variants(fact: Column) -> Column:
 def merged_uncertainties(first: Column, second: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.array_distinct(F.filter(F.concat(F.coalesce(first, none), F.coalesce(second, none)), lambda x: x != ""))
+
+
+def time_intent(c: Column) -> Column:
+    """A time intent as it is understood: current, latest or history; anything else is uncertain."""
+    return _one_of(c, ["current", "latest", "history"], "uncertain")
+
+
+def graph_intent(c: Column) -> Column:
+    """A graph intent as it is understood: cross_entity; anything else stays with the entity."""
+    return _one_of(c, ["cross_entity"], "entity_local")
+
+
+def _one_of(c: Column, known: list[str], other: str) -> Column:
+    said = F.lower(F.btrim(F.coalesce(c, F.lit(""))))
+    return F.when(said.isin(known), said).otherwise(other)
+
+
+def stable_json(fields: dict[str, Column]) -> Column:
+    """An object as compact JSON whose keys come in order, whatever the order of ``fields``; null values are left out."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+#: Marks that end a segment, and the characters of a fragment.
+SEGMENT_ENDS, FRAGMENT_CHARS = "。！？!?.", 240
+
+
+def fragments(content: Column, max_chars: int = FRAGMENT_CHARS) -> Column:
+    """Fragments (ordinal, start, end, text) of a text: its sentences and lines, trimmed, of which neighbours are put together with a
+    blank as long as they do not exceed ``max_chars``. ``start`` and ``end`` (exclusive) count characters of the text from 0. A text
+    of nothing but marks is one fragment; null and blank texts have none."""
+    none = "cast(array() AS array<struct<start:int,end:int,text:string>>)"
+    pieces = F.regexp_extract_all(content, F.lit(rf"(?s)([^\n{SEGMENT_ENDS}]+(?:[{SEGMENT_ENDS}]+|\n+|$)|[\n{SEGMENT_ENDS}]+)"), F.lit(1))
+    placed = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.expr(none).alias("l")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p)).alias("at"),
+            F.when(
+                ~p.rlike(rf"^[\n{SEGMENT_ENDS}]+$") & (_stripped(p) != ""),
+                F.concat(s["l"], F.array(F.struct((s["at"] + F.length(p) - F.length(_stripped(p, "left"))).alias("start"), (s["at"] + F.length(_stripped(p, "right"))).alias("end"), _stripped(p).alias("text")))),
+            ).otherwise(s["l"]).alias("l"),
+        ),
+        lambda s: s["l"],
+    )
+    whole = F.struct((F.length(content) - F.length(_stripped(content, "left"))).cast("int").alias("start"), F.length(_stripped(content, "right")).cast("int").alias("end"), _stripped(content).alias("text"))
+    segments = F.when(F.size(placed) > 0, placed).otherwise(F.array(whole))
+    last = lambda s: F.element_at(s, -1)
+    fits = lambda s, x: (F.size(s) > 0) & (F.length(F.get(s, F.size(s) - 1)["text"]) + 1 + F.length(x["text"]) <= max_chars)
+    merged = F.aggregate(
+        segments,
+        F.expr(none),
+        lambda s, x: F.when(fits(s, x), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), x["end"].alias("end"), F.concat_ws(" ", last(s)["text"], x["text"]).alias("text"))))).otherwise(F.concat(s, F.array(x))),
+    )
+    numbered = F.transform(merged, lambda x, i: F.struct((i + 1).alias("ordinal"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    return F.when(_stripped(F.coalesce(content, F.lit(""))) != "", numbered).otherwise(F.expr("cast(array() AS array<struct<ordinal:int,start:int,end:int,text:string>>)"))
+
+
+def _stripped(c: Column, side: str = "both") -> Column:
+    """Without white space of any script at the ends."""
+    left, right = r"(?U)^[\s\x1c-\x1f]+", r"(?U)[\s\x1c-\x1f]+$"
+    return F.regexp_replace(c, {"left": left, "right": right, "both": f"{left}|{right[4:]}"}[side], "")

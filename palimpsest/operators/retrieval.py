@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.operators import lookup
 
 #: BM25 as defined here: these parameters, the natural logarithm of 1 + (N - df + 0.5) / (df + 0.5), lower case, no stop words.
 K1, B = 1.5, 0.75
 RRF_K, RRF_FLOOR, DENSE_FLOOR, OVERSAMPLE = 50, 0.01, 0.12, 24
+#: Least score of text search alone, memories of an entity that are indexed anew with it; more nodes than any set has.
+LEXICAL_FLOOR, REINDEXED, MANY = 0.08, 200, 1 << 62
 #: Scores are compared after rounding to so many digits, so that the order of additions decides nothing.
 DIGITS = 9
 #: Vectors of one block: 4096 of 768 float32 are 12 MB.
@@ -164,6 +167,28 @@ def searched_memories(memories: DataFrame, entities: DataFrame) -> DataFrame:
     return index.select(F.col("memory_space").alias("grp"), F.col("key").alias("doc_id"), "text")
 
 
+def lexical(queries: DataFrame, documents: DataFrame, limit: int, floor: float = LEXICAL_FLOOR) -> DataFrame:
+    """(query_id, doc_id, score, rank): text search alone, with its own least score; the best max(``limit``, oversample) of each query,
+    which a smaller candidate set clamps by itself."""
+    return ranked(bm25(queries, documents).where(F.col("score") >= floor), oversampled(limit, MANY))
+
+
+def rebuilt(memories: DataFrame, entities: DataFrame) -> DataFrame:
+    """The whole index anew: the documents of all entities and memories that have a text (see ``projections``)."""
+    return projections(memories, entities).where(F.btrim("text") != "")
+
+
+def reindexed(index: DataFrame, entities: DataFrame, memories: DataFrame, touched: DataFrame, named: DataFrame, limit: int = REINDEXED) -> DataFrame:
+    """The index after the ``touched`` entities (memory_space, entity_key), with up to ``limit`` of their newest memories each, and the
+    ``named`` memories (memory_space, memory_id) were projected anew."""
+    t, n = touched.select("memory_space", "entity_key").distinct(), named.select("memory_space", "memory_id").distinct()
+    own = lookup.recent_per_key(memories.join(t, ["memory_space", "entity_key"], "left_semi"), ["memory_space", "entity_key"], "updated_at", "memory_id", limit).drop("rank")
+    chosen = own.select(*memories.columns).unionByName(memories.join(n, ["memory_space", "memory_id"], "left_semi").select(*memories.columns)).dropDuplicates(["memory_space", "memory_id"])
+    of_memories = projections(chosen, entities).where("kind = 'memory'")
+    of_entities = projections(chosen.limit(0), entities.join(t, ["memory_space", "entity_key"], "left_semi"))
+    return upsert(index, of_entities.unionByName(of_memories))
+
+
 def stale_documents(expected: DataFrame, indexed: DataFrame) -> DataFrame:
     """Documents of ``expected`` (ref_doc, updated_at) that the index lacks or holds with another time. Times are compared as
     the doubles they are; two null times are equal."""

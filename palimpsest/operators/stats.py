@@ -104,3 +104,46 @@ def merged_timings(df: DataFrame, keys: list[str], timings: list[str], order: li
     entries = df.select(*keys, *order, F.posexplode(F.array(*timings)).alias("at", "m")).select(*keys, *order, "at", F.explode("m").alias("stage", "ms"))
     last = entries.where("ms IS NOT NULL").groupBy(*keys, "stage").agg(F.max_by("ms", F.struct(*order, "at")).alias("ms"))
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("stages"))
+
+
+#: Fixed value: characters of a query that an audit shows.
+PREVIEW_CHARS = 512
+ITEM_STATUSES = ["ok", "partial", "rejected", "not_ready"]
+
+
+def _in_order(items: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, name): the different non-blank values of each key, in the order of ``position`` (then place within the row)."""
+    told = items.select(*keys, "position", F.posexplode(value).alias("at", "v")).where(F.btrim(F.coalesce("v", F.lit(""))) != "")
+    first = told.groupBy(*keys, F.btrim("v").alias("v")).agg(F.min(F.struct("position", "at")).alias("f"))
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", "v")))["v"].alias(name))
+
+
+def audit_metadata(items: DataFrame, keys: list[str]) -> DataFrame:
+    """What an audit says of each request, from its results (keys, position, query, status, answer, memory_ids, observation_ids, edge_types,
+    n_citations, uncertainties, graph_intent, dynamic_skipped, graph_first_attempted, graph_first_used, fallback_reason, profile_revision).
+
+    Counts by status; different ids, edge types, intents and reasons in the order of first occurrence; how often the dynamic step was
+    skipped and run (null is neither), and how often the graph-first way was tried and used; the profile revisions of all results that
+    have one, in order. A request's lists are bounded by its results."""
+    flat = F.btrim(F.replace(F.coalesce("query", F.lit("")), F.lit("\n"), F.lit(" ")))
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_result_count")
+    base = items.groupBy(*keys).agg(
+        F.min_by(flat, "position").alias("__q"), F.count("*").alias("result_count"), *[count(s) for s in ITEM_STATUSES], F.sum(F.coalesce("n_citations", F.lit(0))).alias("citation_count"),
+        F.sum(F.length(F.coalesce("answer", F.lit("")))).alias("answer_length"), F.count_if(F.col("dynamic_skipped")).alias("dynamic_skipped_count"), F.count_if(~F.col("dynamic_skipped")).alias("dynamic_run_count"),
+        F.count_if(F.col("graph_first_attempted")).alias("graph_first_attempted_count"), F.count_if(F.col("graph_first_used")).alias("graph_first_used_count"),
+        F.array_sort(F.collect_list(F.when(F.col("profile_revision").isNotNull(), F.struct("position", "profile_revision"))))["profile_revision"].alias("profile_revisions"),
+    )
+    out = base.select(*keys, F.substring("__q", 1, PREVIEW_CHARS).alias("query_preview"), F.length("__q").alias("query_length"), *[c for c in base.columns if c not in (*keys, "__q")])
+    lists = {"key_memory_ids": F.col("memory_ids"), "supporting_observation_ids": F.col("observation_ids"), "used_edge_types": F.col("edge_types"), "uncertainties": F.col("uncertainties")}
+    lists |= {"graph_expansion_intents": F.array("graph_intent"), "fallback_reasons": F.array("fallback_reason")}
+    for name, value in lists.items():
+        out = out.join(_in_order(items, keys, value, name), keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def merged_summaries(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Timing summaries of several runs (run, keys, samples array, wall_clock_ms) as one: statistics over all samples together, as
+    ``latency`` has them, and the wall clocks of the runs summed; a run counts once for each key."""
+    samples = runs.select(*keys, F.explode("samples").alias("ms"))
+    clocks = runs.groupBy("run", *keys).agg(F.max("wall_clock_ms").alias("w")).groupBy(*keys).agg(F.sum("w").alias("wall_clock_ms"))
+    return latency(samples, keys, "ms").join(clocks, keys)

@@ -285,3 +285,109 @@ def t_state(spark: SparkSession, d: str) -> DataFrame:
     s = b.tasks(spark, d).select(F.col("dedupe_key").alias("state_key"), F.col("status").alias("value"), F.col("created_at").alias("updated_at"))
     half = F.pmod(F.hash("state_key", "updated_at"), F.lit(2)) == 0
     return tasks.put_state(s.where(half), s.where(~half))
+
+
+@query(over("e_") + f"SELECT entity_key, display_name, identity_profile.who AS who FROM e_ WHERE memory_space = '{SPACE}' AND entity_key = (SELECT min(entity_key) FROM e_ WHERE memory_space = '{SPACE}')")
+def q_point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of the smallest key of a space, read by its key."""
+    e = b.entities(spark, d)
+    key = e.where(F.col("memory_space") == SPACE).agg(F.min("entity_key")).first()[0] or ""
+    return lookup.point(e, memory_space=SPACE, entity_key=key).select("entity_key", "display_name", F.col("identity_profile.who").alias("who"))
+
+
+@query(over("m_") + f"SELECT memory_id, entity_key, status, updated_at FROM m_ WHERE memory_space = '{SPACE}' AND status IN ('active', 'stale') ORDER BY updated_at DESC NULLS LAST, memory_id LIMIT 300")
+def q_list_memories(spark: SparkSession, d: str) -> DataFrame:
+    m = b.memories(spark, d).where(F.col("status").isin(lookup.known_statuses("active,stale", stats.MEMORY_STATUSES)))
+    return lookup.top(m, "updated_at", "memory_id", 300, memory_space=SPACE).select("memory_id", "entity_key", "status", "updated_at")
+
+
+@query(over("g_") + f"SELECT edge_id, edge_type, created_at FROM g_ WHERE memory_space = '{SPACE}' AND edge_type IN ('supports', 'updates') ORDER BY created_at NULLS LAST, edge_id LIMIT 5000")
+def q_list_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = b.edges(spark, d).where(F.col("edge_type").isin("supports", "updates"))
+    return lookup.top(e, "created_at", "edge_id", 5000, newest=False, memory_space=SPACE).select("edge_id", "edge_type", "created_at")
+
+
+@query(over("e_", "m_") + "SELECT 'entity' AS kind, memory_space, entity_key AS id, created_at FROM e_ UNION ALL SELECT 'memory', memory_space, memory_id, created_at FROM m_")
+def q_all_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity and memory, as a rebuild reads them: one scan each, in no pages."""
+    part = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), "memory_space", F.col(key).alias("id"), "created_at")
+    return part(b.entities(spark, d), "entity", "entity_key").unionByName(part(b.memories(spark, d), "memory", "memory_id"))
+
+
+@query(over("m_") + "SELECT memory_space, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY memory_space ORDER BY created_at NULLS LAST, memory_id) AS n FROM m_) WHERE n > 5 AND n <= 15")
+def q_rebuild_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of ten of every space, five rows in, oldest first."""
+    m = b.memories(spark, d).withColumn("n", -F.col("created_at"))
+    return lookup.recent_per_key(m, ["memory_space"], "n", "memory_id", 15).where("rank > 5").select("memory_space", "memory_id")
+
+
+@query(over("tasks_") + "SELECT task_id, task_type, status, created_at FROM tasks_ WHERE status IN ('pending', 'running') AND task_type IN ('continue_ingest', 'reindex_memory') ORDER BY created_at, task_id LIMIT 1000")
+def q_list_tasks(spark: SparkSession, d: str) -> DataFrame:
+    t = b.tasks(spark, d).where(F.col("status").isin("pending", "running") & F.col("task_type").isin("continue_ingest", "reindex_memory"))
+    return lookup.top(t, "created_at", "task_id", 1000, newest=False).select("task_id", "task_type", "status", "created_at")
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Recall audits as the results of their requests, with traces that follow from the number of the query."""
+    a = b.recall_audits(spark, d).withColumn("n", F.replace("query", F.lit("query "), F.lit("")).cast("int"))
+    n = F.col("n")
+    word = lambda p, m: F.concat(F.lit(p), (n % m).cast("string"))
+    return a.select(
+        "request_id", F.col("audit_id").alias("position"), "query", "status", F.when(F.col("status") == "ok", F.concat(F.lit("about "), "query")).alias("answer"),
+        F.array(word("mem_", 5), F.lit(" "), word("mem_", 3)).alias("memory_ids"), F.array(word("obs_", 4)).alias("observation_ids"), F.when(n % 3 > 0, F.array(F.lit("supports"), F.when(n % 2 == 0, "updates"))).alias("edge_types"),
+        (n % 4).alias("n_citations"), F.when(n % 6 == 0, F.array(F.lit("old"))).alias("uncertainties"), F.when(n % 2 == 0, "cross_entity").otherwise(F.when(n % 5 > 0, "entity_local")).alias("graph_intent"),
+        F.when(n % 3 < 2, n % 3 == 0).alias("dynamic_skipped"), F.when(n % 4 > 0, F.lit(True)).alias("graph_first_attempted"), (n % 4 == 1).alias("graph_first_used"), F.when(n % 4 == 2, "ambiguous").when(n % 4 == 3, " ").alias("fallback_reason"),
+        F.when(n % 7 > 2, n % 7).alias("profile_revision"),
+    )
+
+
+def _listed(name: str, *values: str) -> str:
+    """A common table: the request's different values in order."""
+    each = " UNION ALL ".join(f"SELECT request_id, audit_id, {i} AS i, {v} AS v FROM a" for i, v in enumerate(values))
+    return f"{name} AS (SELECT request_id, array_to_string(list(v ORDER BY f), ',') AS l FROM (SELECT request_id, v, min(struct_pack(p := audit_id, i := i)) AS f FROM ({each}) WHERE trim(coalesce(v, ''), ' ') <> '' GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(
+    over("audits_")
+    + f""", a AS (SELECT *, CAST(replace(query, 'query ', '') AS INT) AS n FROM audits_), {_listed("mem", "'mem_' || (n % 5)", "' '", "'mem_' || (n % 3)")}, {_listed("obs", "'obs_' || (n % 4)")},
+{_listed("edge", "CASE WHEN n % 3 > 0 THEN 'supports' END", "CASE WHEN n % 3 > 0 AND n % 2 = 0 THEN 'updates' END")}, {_listed("unc", "CASE WHEN n % 6 = 0 THEN 'old' END")}, {_listed("int_", "CASE WHEN n % 2 = 0 THEN 'cross_entity' WHEN n % 5 > 0 THEN 'entity_local' END")},
+{_listed("why", "CASE WHEN n % 4 = 2 THEN 'ambiguous' END")}
+SELECT request_id, arg_min(query, audit_id) AS query_preview, length(arg_min(query, audit_id)) AS query_length, count(*) AS result_count, count(*) FILTER (status = 'ok') AS ok_result_count, count(*) FILTER (status = 'partial') AS partial_result_count,
+  count(*) FILTER (status = 'rejected') AS rejected_result_count, count(*) FILTER (status = 'not_ready') AS not_ready_result_count, sum(n % 4) AS citation_count, coalesce(sum(CASE WHEN status = 'ok' THEN length('about ' || query) ELSE 0 END), 0) AS answer_length,
+  count(*) FILTER (n % 3 = 0) AS dynamic_skipped_count, count(*) FILTER (n % 3 = 1) AS dynamic_run_count, count(*) FILTER (n % 4 > 0) AS graph_first_attempted_count, count(*) FILTER (n % 4 = 1) AS graph_first_used_count,
+  coalesce(array_to_string(list(n % 7 ORDER BY audit_id) FILTER (n % 7 > 2), ','), '') AS profile_revisions, coalesce(any_value(mem.l), '') AS key_memory_ids, coalesce(any_value(obs.l), '') AS supporting_observation_ids, coalesce(any_value(edge.l), '') AS used_edge_types,
+  coalesce(any_value(unc.l), '') AS uncertainties, coalesce(any_value(int_.l), '') AS graph_expansion_intents, coalesce(any_value(why.l), '') AS fallback_reasons
+FROM a LEFT JOIN mem USING (request_id) LEFT JOIN obs USING (request_id) LEFT JOIN edge USING (request_id) LEFT JOIN unc USING (request_id) LEFT JOIN int_ USING (request_id) LEFT JOIN why USING (request_id) GROUP BY 1"""
+)
+def a_audit_metadata(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.audit_metadata(_results(spark, d), ["request_id"])
+    lists = ["profile_revisions", "key_memory_ids", "supporting_observation_ids", "used_edge_types", "uncertainties", "graph_expansion_intents", "fallback_reasons"]
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists})
+
+
+@query(
+    over("audits_")
+    + """, e AS (SELECT request_id, audit_id, 1 AS pos, 'retrieve' AS stage, CAST(floor(latency_ms) AS BIGINT) AS ms FROM audits_ UNION ALL SELECT request_id, audit_id, 1, status, CAST(floor(latency_ms) AS BIGINT) % 100 FROM audits_
+UNION ALL SELECT request_id, audit_id, 2, CASE WHEN error_code IS NULL THEN 'retrieve' ELSE 'judge' END, CAST(floor(latency_ms) AS BIGINT) % 10 FROM audits_),
+l AS (SELECT request_id, stage, arg_max(ms, struct_pack(i := audit_id, a := pos)) AS ms FROM e WHERE ms IS NOT NULL GROUP BY 1, 2) SELECT request_id, array_to_string(list(stage || '=' || ms ORDER BY stage), ',') AS stages FROM l GROUP BY 1"""
+)
+def a_stage_timings(spark: SparkSession, d: str) -> DataFrame:
+    """Timings of the stages of a request's drafts, merged: of a stage that comes again, the last value stands."""
+    ms = F.floor("latency_ms").cast("long")
+    a = b.recall_audits(spark, d).select("request_id", "audit_id", F.create_map(F.lit("retrieve"), ms, F.col("status"), ms % 100).alias("one"), F.create_map(F.when(F.col("error_code").isNull(), "retrieve").otherwise("judge"), ms % 10).alias("two"))
+    out = stats.merged_timings(a, ["request_id"], ["one", "two"], ["audit_id"])
+    stage = F.transform(F.map_entries("stages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("request_id", F.array_join(F.array_sort(stage), ",").alias("stages"))
+
+
+@query(
+    over("audits_")
+    + """, w AS (SELECT memory_space AS run, status, max(created_at) - min(created_at) AS w FROM audits_ GROUP BY 1, 2)
+SELECT status, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, median(latency_ms) AS median_ms, quantile_disc(latency_ms, 0.95) AS p95_ms, max(latency_ms) AS max_ms, min(latency_ms) AS min_ms, round(sum(latency_ms), 4) AS total_ms,
+  (SELECT round(sum(w), 3) FROM w WHERE w.status = audits_.status) AS wall_clock_ms FROM audits_ GROUP BY 1"""
+)
+def a_merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Every space as a run, its audits of one status as the samples of a summary."""
+    runs = b.recall_audits(spark, d).groupBy(F.col("memory_space").alias("run"), "status").agg(F.collect_list("latency_ms").alias("samples"), (F.max("created_at") - F.min("created_at")).alias("wall_clock_ms"))
+    out = stats.merged_summaries(runs, ["status"])
+    return out.withColumns({"mean_ms": F.round("mean_ms", 6), "total_ms": F.round("total_ms", 4), "wall_clock_ms": F.round("wall_clock_ms", 3)})

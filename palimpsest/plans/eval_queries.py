@@ -50,10 +50,18 @@ def e_suite_summary(spark: SparkSession, d: str) -> DataFrame:
     return evals.suite_summary(_cases(spark, d))
 
 
-@query(over("tasks_") + "SELECT memory_space, NOT bool_or(task_type = 'continue_ingest' AND status IN ('pending', 'running')) AS settled FROM tasks_ GROUP BY 1")
+_TYPES = "task_type IN ('continue_ingest', 'refresh_entity_profile')"
+
+
+@query(
+    over("tasks_")
+    + f""", c AS (SELECT memory_space, count(*) FILTER ({_TYPES} AND status IN ('pending', 'failed')) AS n_pending, count(*) FILTER ({_TYPES} AND status = 'running') AS n_running, count(*) FILTER ({_TYPES} AND status = 'dead_letter') AS n_dead,
+  count(*) FILTER (task_type IN ('continue_ingest', 'reindex_memory', 'repair_memory_edges') AND status IN ('pending', 'failed', 'running')) AS n_critical FROM tasks_ GROUP BY 1)
+SELECT memory_space, n_pending + n_running = 0 AS settled, n_pending, n_running, n_dead, n_pending + n_running = 0 OR n_critical = 0 AS settled_after_all FROM c"""
+)
 def e_settled(spark: SparkSession, d: str) -> DataFrame:
     t = b.tasks(spark, d)
-    return evals.settled(t, t, ["continue_ingest"])
+    return evals.settled(t, t, ["continue_ingest", "refresh_entity_profile"])
 
 
 @query(
@@ -84,25 +92,6 @@ def e_query_failures(spark: SparkSession, d: str) -> DataFrame:
     return evals.query_failures(r).select("audit_id", F.get("failures", F.lit(0)).alias("failure"))
 
 
-@query()
-def w_gated_drafts(spark: SparkSession, d: str) -> DataFrame:
-    p = b.drafts(spark, d).select(F.col("observation_id").alias("request"), "draft_id", F.struct("who", "surface_forms", "stable_qualifiers", "definition").alias("profile"))
-    return workers.gated(p).select("draft_id", F.to_json("profile").alias("profile"))
-
-
-@query()
-def w_bound_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Drafts bound to the only entity of their space that they match by structure."""
-    q = b.drafts(spark, d).select(F.col("draft_id").alias("query_id"), "memory_space", F.struct("who", "surface_forms", "stable_qualifiers").alias("draft"))
-    e = b.entities(spark, d).select("memory_space", "entity_key", F.col("identity_profile").alias("profile"))
-    fold = lambda c: F.explode(F.array_distinct(F.transform(F.filter(c, lambda x: F.btrim(x) != ""), lambda x: F.lower(F.btrim(x)))))
-    names = lambda c: fold(F.concat(F.array(c["who"]), F.coalesce(c["surface_forms"], F.array().cast("array<string>"))))
-    asked = q.select("query_id", "memory_space", "draft", names(F.col("draft")).alias("name"))
-    known = e.select("memory_space", "entity_key", "profile", names(F.col("profile")).alias("name"))
-    met = asked.join(known, ["memory_space", "name"]).where(workers.identity_matches(F.col("draft"), F.col("profile")))
-    return workers.bound_entities(met.select("query_id", "entity_key").distinct())
-
-
 @query(
     """SELECT event_id, CAST(props->>'$.k' AS INT) AS input_tokens, CAST(props->>'$.k' AS INT) AS cache_miss_tokens FROM events"""
 )

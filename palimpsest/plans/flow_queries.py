@@ -267,6 +267,29 @@ def v_applied_merges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    over("e_")
+    + f""", asked AS (SELECT memory_space || '|' || entity_key AS query_id, memory_space AS grp, {_IDENTITY} AS text FROM (SELECT *, identity_profile AS p FROM e_)),
+words AS (SELECT memory_space AS grp, entity_key AS doc_id, {_tokens(_IDENTITY)} AS w FROM (SELECT *, identity_profile AS p FROM e_)),
+q AS (SELECT query_id, grp, unnest({_tokens("text")}) AS token FROM asked), """
+    + _VECTORS
+    + f""", hits AS (SELECT a.memory_space, a.entity_key, e.entity_key AS other, a.identity_profile AS own, e.identity_profile AS theirs, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (50 + rank)::DOUBLE, 12) DESC, e.updated_at DESC NULLS LAST, e.entity_key) AS n
+  FROM dense JOIN e_ a ON a.memory_space || '|' || a.entity_key = query_id JOIN e_ e ON e.memory_space = a.memory_space AND e.entity_key = doc_id WHERE round(1 / (50 + rank)::DOUBLE, 12) >= 0.01)
+SELECT DISTINCT memory_space, least(entity_key, other) AS entity_a, greatest(entity_key, other) AS entity_b FROM hits WHERE n <= 8 AND entity_key <> other AND theirs.schema_version = 2 AND NOT ({_norm("own.who")} <> '' AND {_norm("theirs.who")} <> ''
+  AND {_FOLD.format(_norm("own.who"))} <> {_FOLD.format(_norm("theirs.who"))} AND NOT list_contains(list_transform(coalesce(theirs.surface_forms, []), lambda x: {_FOLD.format(_norm("x"))}), {_FOLD.format(_norm("own.who"))}))"""
+)
+def v_detected_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Merge tasks from the eight best candidates of every entity of a space."""
+    e = b.entities(spark, d)
+    docs = e.select(F.col("memory_space").alias("grp"), F.col("entity_key").alias("doc_id"), text.identity_text(F.col("identity_profile")).alias("text"))
+    asked = docs.select(F.concat_ws("|", "grp", "doc_id").alias("query_id"), "grp", "text")
+    fused = retrieval.rrf([retrieval.dense(retrieval.hashed_vectors(asked), retrieval.hashed_vectors(docs))])
+    own = e.select(F.concat_ws("|", "memory_space", "entity_key").alias("query_id"), "memory_space", F.col("entity_key").alias("own_key"))
+    best = retrieval.entity_candidates(fused.join(own.select("query_id", "memory_space"), "query_id").withColumnRenamed("doc_id", "entity_key"), e, 8)
+    pairs = best.join(own, "query_id").select("memory_space", F.col("own_key").alias("entity_key"), F.col("entity_key").alias("candidate_key"))
+    return w.merge_candidates(pairs, e).drop("dedupe_key")
+
+
 # --- recall beyond the stored graph ----------------------------------------------------------------------------------------
 
 

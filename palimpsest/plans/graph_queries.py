@@ -153,7 +153,26 @@ def g_local_expansion(spark: SparkSession, d: str) -> DataFrame:
     return graph.expanded(seeds(spark, d), b.edges(spark, d), b.memories(spark, d), hops=0).select("request", "memory_id", "hop")
 
 
-@query()
+def _hops_sql(hops: int) -> str:
+    """The steps of an expansion as common tables ``held1`` (after the step within the entity) to ``held{hops + 1}``."""
+    out = "held0 AS (SELECT request, memory_space, anchor, intent, memory_id, 0 AS hop FROM seeds)"
+    for k in range(1, hops + 2):
+        before, start = f"held{k - 1}", f"held{k - 1} WHERE hop = {k - 1}" if k > 2 else f"held{k - 1}"
+        far = "coalesce(o.entity_key <> x.anchor, false)"
+        out += f""",
+f{k} AS (SELECT * FROM {start}),
+x{k} AS (SELECT * FROM (SELECT f.*, e.other, e.outgoing, e.edge_id, e.edge_type, e.created_at, row_number() OVER (PARTITION BY request, edge_id ORDER BY outgoing DESC) AS once FROM f{k} f JOIN ends e ON e.memory_space = f.memory_space AND e.memory_id = f.memory_id) WHERE once = 1),
+y{k} AS (SELECT x.* FROM x{k} x LEFT JOIN m_ o ON o.memory_space = x.memory_space AND o.memory_id = x.other LEFT JOIN {before} k ON k.request = x.request AND k.memory_id = x.other
+  WHERE {far if k > 1 else 'NOT ' + far} AND (edge_type <> 'updates' OR x.intent = 'history' OR (x.intent = 'latest' AND NOT outgoing) OR (x.intent = 'uncertain' AND k.memory_id IS NULL))),
+z{k} AS (SELECT request, memory_space, anchor, intent, edge_type, other, min(struct_pack(c := created_at, e := edge_id)) AS first FROM y{k} GROUP BY ALL),
+n{k} AS (SELECT *, row_number() OVER (PARTITION BY request, edge_type ORDER BY first) AS nth FROM z{k}),
+p{k} AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY list_position(['updates', 'supports', 'contradicts', 'related_to'], edge_type), nth) AS place FROM n{k} WHERE nth <= CASE WHEN edge_type IN ('updates', 'supports') THEN 8 ELSE 6 END),
+held{k} AS (SELECT * FROM {before} UNION ALL SELECT DISTINCT request, memory_space, anchor, intent, other, {k} FROM p{k} p WHERE place <= 24 - (SELECT count(*) FROM {before} h WHERE h.request = p.request)
+  AND EXISTS (SELECT 1 FROM m_ WHERE m_.memory_space = p.memory_space AND memory_id = other AND status IS DISTINCT FROM 'archived') AND NOT EXISTS (SELECT 1 FROM {before} h WHERE h.request = p.request AND h.memory_id = other))"""
+    return out
+
+
+@query(over("m_", "g_") + f", {_MM}, {_SEEDS}, {_hops_sql(graph.HOPS)} SELECT request, memory_id, hop FROM held{graph.HOPS + 1}")
 def g_expansion(spark: SparkSession, d: str) -> DataFrame:
     return graph.expanded(seeds(spark, d), b.edges(spark, d), b.memories(spark, d)).select("request", "memory_id", "hop")
 
@@ -207,3 +226,43 @@ def g_hot_path_edges(spark: SparkSession, d: str) -> DataFrame:
     v = b.versions(spark, d)
     acts = v.select("memory_space", "action", F.col("trigger_observation_id").alias("observation_id"), F.concat(F.lit("new_"), "version_id").alias("new_id"), F.col("memory_id").alias("target_id"))
     return graph.hot_path_edges(acts)
+
+
+@query(over("m_", "e_") + "SELECT memory_space, entity_key, count(*) AS n_memories FROM m_ ANTI JOIN e_ USING (memory_space, entity_key) WHERE entity_key IS NOT NULL GROUP BY 1, 2")
+def g_missing_entities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.missing_entities(b.memories(spark, d), b.entities(spark, d))
+
+
+@query(over("m_", "e_") + "SELECT m.memory_space, memory_id, e.identity_profile.who AS who FROM m_ m JOIN e_ e ON e.memory_space = m.memory_space AND e.entity_key = m.entity_key")
+def g_owned_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Memories of entities that exist, with their profile; a missing entity would be an error."""
+    m, e = b.memories(spark, d), b.entities(spark, d)
+    known = m.join(e.select("memory_space", "entity_key"), ["memory_space", "entity_key"], "left_semi")
+    return graph.owned_memories(known, e).select("memory_space", "memory_id", F.col("identity_profile.who").alias("who"))
+
+
+@query(
+    over("m_", "g_")
+    + f""", {_MM}, {_SEEDS}, r AS (SELECT s.request, g.edge_type, from_id, to_id, reason, weight, min(struct_pack(c := g.created_at, e := edge_id)) AS f FROM seeds s JOIN mm g ON g.memory_space = s.memory_space AND g.from_id = s.memory_id
+  WHERE EXISTS (SELECT 1 FROM seeds o WHERE o.request = s.request AND o.memory_id = g.to_id) GROUP BY ALL),
+x AS (SELECT request, from_id AS memory_id, * EXCLUDE (request) FROM r UNION ALL SELECT request, to_id, * EXCLUDE (request) FROM r),
+l AS (SELECT request, memory_id, list(edge_type || ':' || from_id || '>' || to_id || ':' || coalesce(CAST(round(weight, 4) AS VARCHAR), '') ORDER BY f, edge_type, from_id, to_id) AS edges, list(edge_type ORDER BY f, edge_type, from_id, to_id) AS t FROM x GROUP BY 1, 2)
+SELECT request, memory_id, m.status, coalesce(array_to_string(edges, ' '), '') AS edges, coalesce(array_to_string(list_filter(t, lambda v, i: list_position(t, v) = i), ','), '') AS types FROM seeds JOIN m_ m USING (memory_space, memory_id) LEFT JOIN l USING (request, memory_id)"""
+)
+def g_payload(spark: SparkSession, d: str) -> DataFrame:
+    """What a composer is given of every request's seeds: their relations in order."""
+    out = graph.evidence_payload(seeds(spark, d).withColumn("hop", F.lit(1)), b.edges(spark, d), b.memories(spark, d))
+    said = F.transform(F.coalesce("relation_edges", F.expr("cast(array() AS array<struct<edge_type:string,from_id:string,to_id:string,reason:string,weight:double>>)")), lambda e: F.concat(e["edge_type"], F.lit(":"), e["from_id"], F.lit(">"), e["to_id"], F.lit(":"), F.coalesce(F.round(e["weight"], 4).cast("string"), F.lit(""))))
+    return out.select("request", "memory_id", "status", F.array_join(said, " ").alias("edges"), F.array_join("relation_types", ",").alias("types"))
+
+
+@query(
+    over("m_", "g_")
+    + f""", {_MM}, {_SEEDS}, r AS (SELECT request, memory_id, row_number() OVER (PARTITION BY request ORDER BY memory_id) AS n FROM seeds), c AS (SELECT request, n AS position, n % 4 AS cited FROM r)
+SELECT c.request, position, memory_id AS id FROM c JOIN r ON r.request = c.request AND r.n = c.cited"""
+)
+def g_restored(spark: SparkSession, d: str) -> DataFrame:
+    """References that a model gave back, among them unknown ones, with the ids that they stand for."""
+    refs = g_short_refs(spark, d)
+    n = F.substring("ref", 2, 9).cast("int")
+    return graph.restored(refs.select("request", n.alias("position"), F.concat(F.lit("m"), (n % 4).cast("string")).alias("ref")), refs)

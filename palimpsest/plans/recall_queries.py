@@ -9,6 +9,7 @@ from palimpsest.functions import text
 from palimpsest.operators import retrieval as r
 from palimpsest.plans.views import over
 from palimpsest.sources import bindings as b
+from palimpsest.sources.snapshots import index_states
 from palimpsest.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -64,7 +65,7 @@ dv AS (SELECT doc_id AS id, grp, CAST('0x' || substr(md5(token), 1, 4) AS INT) %
   FROM (SELECT grp, doc_id, unnest(w) AS token FROM words) GROUP BY ALL),
 dot AS (SELECT a.id AS query_id, c.id AS doc_id, sum(a.x * c.x) AS s FROM qv a JOIN dv c ON a.grp = c.grp AND a.b = c.b GROUP BY ALL),
 dense AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT query_id, doc_id, round(s / sqrt(nq.n) / sqrt(nd.n), 9) AS score FROM dot JOIN (SELECT id, sum(x * x) AS n FROM qv GROUP BY 1) nq ON nq.id = query_id JOIN (SELECT id, sum(x * x) AS n FROM dv GROUP BY 1) nd ON nd.id = doc_id)
+  SELECT query_id, doc_id, round(s / sqrt(nq.n) / sqrt(nd.n), 9) AS score FROM dot JOIN (SELECT id, sum(x * x) AS n FROM qv GROUP BY 1 HAVING sum(x * x) > 0) nq ON nq.id = query_id JOIN (SELECT id, sum(x * x) AS n FROM dv GROUP BY 1 HAVING sum(x * x) > 0) nd ON nd.id = doc_id)
   WHERE score >= 0.12) WHERE rank <= 24)
 """
 
@@ -108,22 +109,6 @@ def r_hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
     return _recalled(spark, d, _documents(spark, d))
 
 
-@query()
-def r_identity_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid recall over identity, title, summary and content, so that a name finds the memories of its entity."""
-    return _recalled(spark, d, _searched(spark, d))
-
-
-@query()
-def r_identity_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return r.ranked(r.bm25(requests(spark, d), _searched(spark, d)), r.OVERSAMPLE).select("query_id", "doc_id", "rank")
-
-
-@query()
-def r_identity_dense(spark: SparkSession, d: str) -> DataFrame:
-    return r.dense(r.hashed_vectors(requests(spark, d)), r.hashed_vectors(_searched(spark, d))).select("query_id", "doc_id", "rank")
-
-
 def _searched(spark: SparkSession, d: str) -> DataFrame:
     return r.searched_memories(b.memories(spark, d), b.entities(spark, d))
 
@@ -153,6 +138,81 @@ def r_projections(spark: SparkSession, d: str) -> DataFrame:
     return r.projections(b.memories(spark, d), b.entities(spark, d)).select("ref_doc", "kind", "text", "updated_at")
 
 
+_WITH_IDENTITY = (
+    over("e_", "d_", "m_")
+    + f""", asked AS (SELECT draft_id AS query_id, memory_space AS grp, who AS text FROM d_ WHERE CAST('0x' || right(draft_id, 4) AS INT) % 20 = 0),
+i AS (SELECT memory_space, entity_key, {_IDENTITY} AS identity FROM (SELECT *, identity_profile AS p FROM e_)),
+docs AS (SELECT m.memory_space AS grp, memory_id AS doc_id, array_to_string(list_filter([i.identity, title, summary, content], lambda x: trim(coalesce(x, ''), ' ') <> ''), chr(10)) AS text FROM m_ m LEFT JOIN i USING (memory_space, entity_key) WHERE status IS DISTINCT FROM 'archived'),
+words AS (SELECT grp, doc_id, {_tokens("text")} AS w FROM docs), q AS (SELECT query_id, grp, unnest({_tokens("text")}) AS token FROM asked),
+"""
+)
+_RECALLED = """, lists AS (SELECT query_id, doc_id, rank FROM dense UNION ALL
+  SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 WHERE score > 0) WHERE rank <= 24),
+fused AS (SELECT query_id, doc_id, round(sum(1 / (50 + rank)::DOUBLE), 12) AS score FROM lists GROUP BY ALL)
+SELECT query_id, memory_id, rank FROM (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, status = 'active' DESC, salience DESC NULLS LAST, confidence DESC NULLS LAST, updated_at DESC NULLS LAST, memory_id) AS rank
+  FROM fused JOIN asked USING (query_id) JOIN m_ ON m_.memory_space = grp AND m_.memory_id = doc_id WHERE score >= 0.01) WHERE rank <= 10"""
+
+
+@query(_WITH_IDENTITY + _BM25 + ", " + _VECTORS + _RECALLED)
+def r_identity_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid recall over identity, title, summary and content, so that a name finds the memories of its entity."""
+    return _recalled(spark, d, _searched(spark, d))
+
+
+@query(_WITH_IDENTITY + _BM25 + "SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 WHERE score > 0) WHERE rank <= 24")
+def r_identity_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return r.ranked(r.bm25(requests(spark, d), _searched(spark, d)), r.OVERSAMPLE).select("query_id", "doc_id", "rank")
+
+
+@query(_WITH_IDENTITY + _VECTORS + "SELECT query_id, doc_id, rank FROM dense")
+def r_identity_dense(spark: SparkSession, d: str) -> DataFrame:
+    return r.dense(r.hashed_vectors(requests(spark, d)), r.hashed_vectors(_searched(spark, d))).select("query_id", "doc_id", "rank")
+
+
+@query(_WITH_IDENTITY + _BM25 + "SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 WHERE score >= 0.08::DOUBLE) WHERE rank <= 40")
+def r_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return r.lexical(requests(spark, d), _searched(spark, d), 40).select("query_id", "doc_id", "rank")
+
+
+@query(over("g_") + """, n AS (SELECT memory_space || '|' || from_id AS query_id, to_id AS ref_doc, edge_id AS node_id, weight AS score FROM g_ WHERE weight > 0)
+SELECT query_id, ref_doc, max(score) AS score, array_to_string(list(node_id ORDER BY score DESC, node_id), ',') AS nodes FROM n GROUP BY 1, 2""")
+def r_best_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Edges as nodes of the record that they point to: its greatest score, and its nodes by score."""
+    nodes = b.edges(spark, d).select(F.concat_ws("|", "memory_space", "from_id").alias("query_id"), F.col("to_id").alias("ref_doc"), F.col("edge_id").alias("node_id"), F.col("weight").alias("score"))
+    return r.best_nodes(nodes).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(over("m_") + """, s AS (SELECT memory_space, count(*) AS n, count(*) FILTER (status = 'active') AS live FROM m_ GROUP BY 1)
+SELECT memory_space AS index_id, CASE WHEN n % 3 = 0 AND live > 0 THEN 'ready' ELSE 'stale' END AS index_state, CASE WHEN n % 3 = 0 AND live > 0 THEN NULL ELSE 1000 END AS rebuild_priority FROM s""")
+def r_index_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every space as an index whose recorded model follows from its memories; one without active memories lacks a dimension."""
+    s = b.memories(spark, d).groupBy(F.col("memory_space").alias("index_id")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("live"))
+    config = F.create_map(F.lit("provider"), F.lit("hashing"), F.lit("model"), F.concat(F.lit("m"), (F.col("n") % 3).cast("string")), F.lit("dim"), F.when(F.col("live") > 0, "64"), F.lit("projection_version"), F.lit("1"))
+    return index_states(s.select("index_id", F.explode(config).alias("state_key", "value")), {"provider": "hashing", "model": "m0", "dim": "64", "projection_version": "1"})
+
+
+@query(_PROJECTED + "SELECT ref_doc, kind, text, updated_at FROM index_ WHERE trim(text, ' ') <> ''")
+def r_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    return r.rebuilt(b.memories(spark, d), b.entities(spark, d)).select("ref_doc", "kind", "text", "updated_at")
+
+
+@query(
+    _PROJECTED
+    + """, t AS (SELECT DISTINCT memory_space, entity_key FROM m_ WHERE status = 'stale'),
+chosen AS (SELECT 'entity:' || e.memory_space || ':' || e.entity_key AS ref_doc FROM e_ e SEMI JOIN t USING (memory_space, entity_key) UNION SELECT 'memory:' || memory_space || ':' || memory_id FROM m_ WHERE salience > 0.9
+UNION SELECT 'memory:' || memory_space || ':' || memory_id FROM (SELECT m_.*, row_number() OVER (PARTITION BY memory_space, entity_key ORDER BY updated_at DESC NULLS LAST, memory_id) AS n FROM m_ SEMI JOIN t USING (memory_space, entity_key)) WHERE n <= 3)
+SELECT ref_doc, kind, CASE WHEN c.ref_doc IS NULL THEN 0 ELSE coalesce(updated_at, -1) END AS updated_at FROM index_ LEFT JOIN chosen c USING (ref_doc) WHERE c.ref_doc IS NULL OR trim(text, ' ') <> ''"""
+)
+def r_reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """An index of old times, of which the entities with a stale memory, three of their memories each, and the most salient memories
+    are indexed anew."""
+    m, e = b.memories(spark, d), b.entities(spark, d)
+    index = r.projections(m, e).withColumn("updated_at", F.lit(0.0))
+    out = r.reindexed(index, e, m, m.where("status = 'stale'"), m.where("salience > 0.9"), 3)
+    return out.select("ref_doc", "kind", F.coalesce("updated_at", F.lit(-1.0)).alias("updated_at"))
+
+
 _OLD = "held AS (SELECT memory_space, ref_doc, updated_at FROM (SELECT 'memory:' || memory_space || ':' || memory_id AS ref_doc, memory_space, max(created_at) AS updated_at FROM v_ GROUP BY ALL))"
 
 

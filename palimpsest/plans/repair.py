@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import graph, retrieval
+from palimpsest.plans.graph_queries import _FRONTIER
+from palimpsest.plans.recall_queries import _tokens
+from palimpsest.plans.views import over
 from palimpsest.sources import bindings as b
 
 CANDIDATES = 14
@@ -59,4 +62,27 @@ def g_cross_entity_repair(spark: SparkSession, d: str) -> DataFrame:
     return new.select("memory_space", "from_id", "to_id", "edge_type", "weight")
 
 
-QUERIES, ORACLE = {"g_cross_entity_repair": g_cross_entity_repair}, {}
+def _bigrams(tokens: str) -> str:
+    """Neighbouring tokens as one; a single token by itself."""
+    return f"CASE WHEN len({tokens}) > 1 THEN list_transform(range(1, len({tokens})), lambda i: {tokens}[i] || ' ' || {tokens}[i + 1]) ELSE {tokens} END"
+
+
+_BODY = "concat_ws(' ', title, summary, content)"
+_REPAIR = (
+    over("m_", "e_", "g_", recursive=True)
+    + f""", {_FRONTIER},
+nt AS (SELECT memory_space, entity_key, {_tokens("display_name")} AS t FROM e_ WHERE display_name <> 'Unknown'), named AS (SELECT memory_space, entity_key, ({_bigrams("t")})[1] AS name FROM nt),
+bt AS (SELECT memory_space, memory_id, entity_key, updated_at, status, {_tokens(_BODY)} AS t FROM m_), said AS (SELECT memory_space, memory_id, entity_key, updated_at, unnest(list_distinct({_bigrams("t")})) AS name FROM bt WHERE status IS DISTINCT FROM 'archived'),
+best AS (SELECT * FROM (SELECT n.memory_space, n.entity_key, s.memory_id AS candidate, row_number() OVER (PARTITION BY n.memory_space, n.entity_key ORDER BY coalesce(s.updated_at, 0) DESC, s.memory_id) AS rank FROM named n JOIN said s ON s.memory_space = n.memory_space AND s.name = n.name AND s.entity_key <> n.entity_key) WHERE rank <= 14),
+pairs AS (SELECT b.memory_space, f.memory_id AS a, b.candidate AS b, rank, x.t AS ta, y.t AS tb FROM best b JOIN front f ON f.memory_space = b.memory_space AND f.entity_key = b.entity_key JOIN bt x ON x.memory_space = b.memory_space AND x.memory_id = f.memory_id JOIN bt y ON y.memory_space = b.memory_space AND y.memory_id = b.candidate),
+jd AS (SELECT *, round(CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN coalesce(list_sum([least(len(list_filter(ta, lambda y: y = t)), len(list_filter(tb, lambda y: y = t))) for t in list_distinct(ta)]), 0) / sqrt(len(ta) * len(tb)) ELSE 0 END, 6) AS weight FROM pairs),
+norm_ AS (SELECT memory_space, least(a, b) AS f, greatest(a, b) AS t, weight, rank, a || '|' || b AS edge_id FROM jd WHERE weight >= 0.2 AND a <> b QUALIFY row_number() OVER (PARTITION BY memory_space, least(a, b), greatest(a, b) ORDER BY rank, a || '|' || b) = 1),
+fr AS (SELECT DISTINCT memory_space, memory_id FROM front),
+own AS (SELECT n.*, CASE WHEN p.memory_id IS NOT NULL THEN f WHEN z.memory_id IS NOT NULL THEN t END AS owner FROM norm_ n LEFT JOIN fr p ON p.memory_space = n.memory_space AND p.memory_id = f LEFT JOIN fr z ON z.memory_space = n.memory_space AND z.memory_id = t),
+sp AS (SELECT * FROM own WHERE owner IS NULL UNION ALL SELECT * FROM (SELECT * FROM own WHERE owner IS NOT NULL QUALIFY row_number() OVER (PARTITION BY memory_space, owner ORDER BY weight DESC, rank NULLS LAST, edge_id) = 1)),
+v AS (SELECT *, memory_space || chr(9) || f AS va, memory_space || chr(9) || t AS vb FROM sp), l AS (SELECT va AS a, vb AS b FROM v UNION SELECT vb, va FROM v), reach AS (SELECT a, a AS b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+root AS (SELECT a, min(b) AS root FROM reach GROUP BY 1), c AS (SELECT v.*, count(*) OVER (PARTITION BY root) AS n, max(weight) OVER (PARTITION BY root) AS most FROM v JOIN root ON root.a = v.va)
+SELECT memory_space, f AS from_id, t AS to_id, 'related_to' AS edge_type, weight FROM c WHERE (n <= 1 OR weight >= most - 0.15::DOUBLE)
+  AND NOT EXISTS (SELECT 1 FROM g_ WHERE g_.memory_space = c.memory_space AND edge_type = 'related_to' AND from_kind = 'memory' AND to_kind = 'memory' AND least(from_id, to_id) = f AND greatest(from_id, to_id) = t)"""
+)
+QUERIES, ORACLE = {"g_cross_entity_repair": g_cross_entity_repair}, {"g_cross_entity_repair": _REPAIR}

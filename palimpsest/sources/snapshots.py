@@ -58,3 +58,13 @@ def index_state(state: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return want.join(state, "state_key", "left").agg(same).select(
         F.when(F.col("same"), "ready").otherwise("stale").alias("index_state"), F.when(~F.col("same"), REBUILD_PRIORITY).alias("rebuild_priority")
     )
+
+
+def index_states(states: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """(index_id, index_state, rebuild_priority) of many indexes (index_id, state_key, value), each as ``index_state`` has it."""
+    want = F.create_map(*[F.lit(x) for k in INDEX_CONFIG for x in (k, str(wanted[k]))])
+    same = F.coalesce(F.col("value") == want[F.col("state_key")], F.lit(False))
+    known = states.where(F.col("state_key").isin(INDEX_CONFIG)).groupBy("index_id").agg(F.count_distinct(F.when(same, F.col("state_key"))).alias("n"))
+    ready = F.coalesce(F.col("n"), F.lit(0)) == len(INDEX_CONFIG)
+    every = states.select("index_id").distinct().join(known, "index_id", "left")
+    return every.select("index_id", F.when(ready, "ready").otherwise("stale").alias("index_state"), F.when(~ready, REBUILD_PRIORITY).alias("rebuild_priority"))
