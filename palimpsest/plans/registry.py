@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import control_queries, eval_queries, flow_queries, graph_queries, recall_queries, record_queries, repair, worker_queries, write_queries
+from palimpsest.plans import control_queries, eval_queries, flow_queries, graph_queries, recall_queries, record_queries, repair, stream_queries, worker_queries, write_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [record_queries, control_queries, recall_queries, graph_queries, write_queries, flow_queries, eval_queries, worker_queries, repair]
+_MODULES = [record_queries, control_queries, recall_queries, graph_queries, write_queries, flow_queries, eval_queries, worker_queries, stream_queries, repair]
 
 
 def queries() -> dict[str, Query]:

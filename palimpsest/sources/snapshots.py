@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -43,6 +45,50 @@ class Snapshots:
     def append(self, df: DataFrame) -> int:
         return self.write(self.read().unionByName(df.select(*self.schema.fieldNames())))
 
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Make ``combine(what is held, batch)`` the current snapshot."""
+        self.write(combine(self.read(), batch))
+
+
+class BucketedSnapshots:
+    """A table under ``folder`` in ``buckets`` parts by a hash of ``key``, each with versions of its own: a merge reads and writes only
+    the buckets that its batch has keys of, so a small batch costs little however large the table is. The pointer is one small file
+    a merge, which names the new versions of its buckets; a reader sees all of them or none. There is one writer at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, key: Sequence[str], buckets: int = 64):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder.rstrip("/"), schema, list(key), buckets
+
+    def _versions(self) -> dict[int, int]:
+        """{bucket: current version}, at most one entry a bucket."""
+        try:
+            rows = self.spark.read.schema("bucket int, version long").json(f"{self.folder}/pointer").groupBy("bucket").agg(F.max("version")).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        return dict(map(tuple, rows))
+
+    def _of(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/v{v}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._of(self._versions())
+
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replace the rows of the touched buckets by ``combine(what they hold, batch)``, which must keep every key in its bucket."""
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most one row a bucket
+        if not touched:
+            return
+        versions = self._versions()
+        held = self._of({b: v for b, v in versions.items() if b in touched})
+        version = max(versions.values(), default=0) + 1
+        out = combine(held, batch).select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).withColumn("bucket", bucket)
+        out.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{version}")
+        rows = [(b, version) for b in touched]
+        self.spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
+
 
 def checked_vectors(df: DataFrame, dim: int) -> DataFrame:
     """Vectors of the index's dimension; any other one fails the job before anything is written."""

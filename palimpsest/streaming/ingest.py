@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators import changes, writepath
-from palimpsest.sources.snapshots import Snapshots
+from palimpsest.sources.snapshots import BucketedSnapshots, Snapshots
 
 
 def stream_table(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -26,29 +26,28 @@ def available_now(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_texts(stream: DataFrame, observations: Snapshots, now: float, checkpoint: str) -> StreamingQuery:
-    """Texts (memory_space, source_ref, content, request_id) to pending observations; a text that comes again is no new one."""
+def ingest_texts(stream: DataFrame, observations: Snapshots | BucketedSnapshots, now: float, checkpoint: str) -> StreamingQuery:
+    """Texts (memory_space, source_ref, content, request_id) to pending observations; a text that comes again is no new one. A table in
+    buckets (by observation_id) is rewritten only where a batch has texts."""
 
-    def apply(batch: DataFrame, _: int) -> None:
-        new = writepath.new_observations(batch, now)
-        held = observations.read()
+    def combine(held: DataFrame, new: DataFrame) -> DataFrame:
         fresh = new.join(held.select("observation_id"), "observation_id", "left_anti").select(*new.columns)
-        observations.write(held.unionByName(fresh))
+        return held.unionByName(fresh)
 
-    return available_now(stream, apply, checkpoint)
+    return available_now(stream, lambda batch, _: observations.merge(writepath.new_observations(batch, now), combine), checkpoint)
 
 
-def follow_changes(stream: DataFrame, newest: Snapshots, checkpoint: str) -> StreamingQuery:
+def follow_changes(stream: DataFrame, newest: Snapshots | BucketedSnapshots, checkpoint: str) -> StreamingQuery:
     """Keep the newest change of every memory (tombstones included) over a stream of versions. Late, repeated and disordered
-    changes give the same table as one batch over all of them, since a change is replaced only by a later one."""
+    changes give the same table as one batch over all of them, since a change is replaced only by a later one. A table in buckets
+    (by memory_space and memory_id) is rewritten only where a batch has changes."""
     carry = ["action"]
+    columns = [*changes.VERSION_KEYS, *changes.VERSION_ORDER, *carry]
 
-    def apply(batch: DataFrame, _: int) -> None:
-        columns = [*changes.VERSION_KEYS, *changes.VERSION_ORDER, *carry]
-        both = newest.read().select(*columns).unionByName(changes.version_changes(batch).select(*columns))
-        newest.write(changes.newest_changes(both, changes.VERSION_KEYS, changes.VERSION_ORDER, carry, batches=1))
+    def combine(held: DataFrame, new: DataFrame) -> DataFrame:
+        return changes.newest_changes(held.select(*columns).unionByName(new), changes.VERSION_KEYS, changes.VERSION_ORDER, carry, batches=1)
 
-    return available_now(stream, apply, checkpoint)
+    return available_now(stream, lambda batch, _: newest.merge(changes.version_changes(batch).select(*columns).dropna(subset=changes.VERSION_KEYS), combine), checkpoint)
 
 
 def throttled(events: DataFrame, delay: float) -> DataFrame:
