@@ -50,8 +50,7 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cell_representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, rep) for the vertices of the links (a, b) of one task. Cells that share a task are united together; since every
-    link is a true one, that only saves rounds."""
+    """(v, rep) for the vertices of the links (a, b) of one task, which is one cell."""
     got = list(batches)
     if any(x.num_rows for x in got):
         links = pa.Table.from_batches(got)
@@ -66,10 +65,10 @@ def contract(links: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     one that it points to; so the remaining links connect exactly what was connected. A vertex that is smallest in no cell
     is gone from them.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    cell = block("a") * blocks + block("b") if blocks > 1 else F.lit(0)
-    upper = F.when(block("a") <= block("b"), cell).otherwise(block("b") * blocks + block("a")) if blocks > 1 else cell
-    cells = links.withColumn("cell", upper).repartition(blocks * (blocks + 1) // 2, "cell").select("a", "b")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
+    cell = (low * (2 * blocks - low - 1) / 2).cast("int") + high  # numbers the upper half of the grid row by row
+    cells = links.withColumn("cell", cell).repartitionById(blocks * (blocks + 1) // 2, F.col("cell")).select("a", "b")
     reps = materialise(cells.mapInArrow(cell_representatives, "v long, rep long"), "reps")
     pointers = materialise(reps.groupBy("v").agg(F.min("rep").alias("p")), "pointers")
     apart = reps.join(pointers, "v").where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()

@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with items of varying length: minimum bin slack.
 
 Items are dealt into shards by a hash of their id; each shard is packed by itself in one task, so no task ever holds more than a
-shard, and the price is at most one container a shard that could have been fuller. Within a shard, a container is opened with the
+shard. The price is what the last containers of every shard lack, which is measured (``fill_report``), not bounded by a proof. Within a shard, a container is opened with the
 longest item left, and a bitset subset-sum programme over the lengths that are left finds the fullest combination that still fits;
 that combination is taken out, as often as the lengths last. Containers without any slack end the search early.
 """
