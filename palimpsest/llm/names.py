@@ -40,7 +40,7 @@ MAX_ALIASES = 20_000
 RADIUS = 1
 #: Points that a cell may hold before it is split, pivots that split it (besides the empty name), width of a ring around a pivot, and
 #: levels of splitting, after which what is still large is compared in blocks.
-CELL, PIVOTS, RING, LEVELS = 512, 2, 4, 4
+CELL, PIVOTS, RING, LEVELS = 128, 2, 4, 3
 #: Longest pivot, and the distance from which on names are in the same outermost ring of it.
 PIVOT_LETTERS, FAR = 64, 128
 #: Shortest form that may be misspelt.
