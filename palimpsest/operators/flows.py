@@ -231,3 +231,25 @@ def dynamic_recall(held: DataFrame, memories: DataFrame, entities: DataFrame, ed
         relations = new.select("request", "from_id", "to_id", "edge_type", "weight")
         made = relations if made is None else made.unionByName(relations)
     return now, made
+
+
+def related_candidates(frontier: DataFrame, memories: DataFrame, entities: DataFrame, edges: DataFrame, observations: DataFrame, n: int = DYNAMIC_CANDIDATES) -> DataFrame:
+    """(request, memory_space, candidate_id, rank): the ``n`` memories of other entities that fit best what each request's frontier
+    (request, memory_space, anchor, memory_id) says: one query of its texts (see ``dynamic_texts``), searched by hybrid retrieval.
+    Requests of an anchor that does not exist, and candidates of an entity that does not, are left out."""
+    known = entities.select("memory_space", "entity_key")
+    near = frontier.join(known.withColumnRenamed("entity_key", "anchor"), ["memory_space", "anchor"], "left_semi")
+    texts = dynamic_texts(near, memories, edges, observations)
+    corpus = texts.groupBy("request", "memory_space").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", "text")))["text"], "\n").alias("text"))  # DYNAMIC_TEXTS rows
+    anchors = near.select("request", F.col("anchor").alias("own")).distinct()
+    asked = materialise(corpus.join(anchors, "request").select(F.col("request").alias("query_id"), F.col("memory_space").alias("grp"), "text", "own"), "asked")
+    owners = memories.where(F.col("status").isin(REACHABLE)).select(F.col("memory_space").alias("grp"), F.col("memory_id").alias("doc_id"), F.col("entity_key").alias("own"))
+    pool = retrieval.projections(memories.where(F.col("status").isin(REACHABLE)), entities).where("kind = 'memory'").select(F.col("memory_space").alias("grp"), F.col("key").alias("doc_id"), "text")
+    pool = materialise(pool.join(owners, ["grp", "doc_id"]), "pool")
+    scored = retrieval.bm25(asked, pool).join(asked.select("query_id", "grp", F.col("own").alias("asks")), "query_id").join(owners, ["grp", "doc_id"])
+    lexical = retrieval.ranked(scored.where(~F.col("own").eqNullSafe(F.col("asks"))).select("query_id", "doc_id", "score"), retrieval.OVERSAMPLE)
+    dense = retrieval.dense(retrieval.hashed_vectors(asked), retrieval.hashed_vectors(pool))
+    fused = retrieval.rrf([lexical, dense]).join(asked.select("query_id", F.col("grp").alias("memory_space")), "query_id").withColumnRenamed("doc_id", "memory_id")
+    found = retrieval.memory_candidates(fused, memories, n).join(asked.select("query_id", F.col("grp").alias("memory_space")), "query_id")
+    owned = memories.join(known, ["memory_space", "entity_key"], "left_semi").select("memory_space", "memory_id")
+    return found.join(owned, ["memory_space", "memory_id"], "left_semi").select(F.col("query_id").alias("request"), "memory_space", F.col("memory_id").alias("candidate_id"), "rank")

@@ -51,11 +51,13 @@ def bm25(queries: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame, ident: str) -> DataFrame:
-    """Rows (grp, ident, vec) packed into blocks of about ``BLOCK`` vectors of one group."""
+    """Rows (grp, ident, vec, own) packed into blocks of about ``BLOCK`` vectors of one group; ``own`` as hashes."""
+    own = F.xxhash64("own") if "own" in vectors.columns else F.lit(None).cast("long")
+    vectors = vectors.select("grp", ident, "vec", own.alias("own"))
     many = vectors.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = vectors.join(many, "grp").withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks")))
-    packed = placed.groupBy("grp", "block").agg(F.collect_list(F.struct(ident, "vec")).alias("v"))
-    return packed.select("grp", "block", F.col("v")[ident].alias(f"{ident}s"), F.flatten(F.col("v")["vec"]).alias(f"{ident}_flat"))
+    packed = placed.groupBy("grp", "block").agg(F.collect_list(F.struct(ident, "vec", "own")).alias("v"))
+    return packed.select("grp", "block", F.col("v")[ident].alias(f"{ident}s"), F.flatten(F.col("v")["vec"]).alias(f"{ident}_flat"), F.col("v")["own"].alias(f"{ident}_own"))
 
 
 def dense(queries: DataFrame, documents: DataFrame, k: int = OVERSAMPLE, floor: float = DENSE_FLOOR) -> DataFrame:
@@ -64,15 +66,17 @@ def dense(queries: DataFrame, documents: DataFrame, k: int = OVERSAMPLE, floor:
 
     Exact: blocks of queries meet blocks of documents of their group, each pair of blocks is one matrix product that keeps k
     documents a query, and the best of these are ranked. Null and zero vectors match nothing; vectors of different lengths
-    within one group are an error before anything is written.
+    within one group are an error before anything is written. Where both sides have a column ``own``, a query does not match
+    documents of an equal one.
     """
+    apart = "own" in queries.columns and "own" in documents.columns
     kinds = [queries.schema["query_id"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()]
     usable = lambda df: df.where(F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull()))
     asked = _blocks(usable(queries), "query_id")
     # a block of documents goes to every block of queries of its group, so a large group is many keys
     to = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block")
     last = asked.groupBy("grp").agg(F.max("block").cast("int").alias("last"))
-    searched = _blocks(usable(documents), "doc_id").drop("block").join(last, "grp").select("grp", "doc_ids", "doc_id_flat", to)
+    searched = _blocks(usable(documents), "doc_id").drop("block").join(last, "grp").select("grp", "doc_ids", "doc_id_flat", "doc_id_own", to)
     pairs = asked.withColumn("block", F.col("block").cast("int")).join(searched, ["grp", "block"])
 
     def unit(flat: pa.Array, n: int) -> np.ndarray:
@@ -84,12 +88,15 @@ def dense(queries: DataFrame, documents: DataFrame, k: int = OVERSAMPLE, floor:
             for row in range(batch.num_rows):
                 q_ids, q_flat, d_ids, d_flat = (batch.column(c)[row].values for c in ("query_ids", "query_id_flat", "doc_ids", "doc_id_flat"))
                 scores = np.round(unit(q_flat, len(q_ids)) @ unit(d_flat, len(d_ids)).T, DIGITS)
+                if apart:
+                    q_own, d_own = (np.asarray(batch.column(c)[row].values) for c in ("query_id_own", "doc_id_own"))
+                    scores[q_own[:, None] == d_own[None, :]] = -2.0  # below every cosine
                 near = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, : min(k, scores.shape[1])]
                 edge = np.take_along_axis(scores, near, 1).min(axis=1)  # all that tie with the last one stay in
                 q, d = np.nonzero((scores >= edge[:, None]) & (scores >= floor))
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), d_ids.take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc_id", "score"])
 
-    near = pairs.select("query_ids", "query_id_flat", "doc_ids", "doc_id_flat").mapInArrow(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    near = pairs.select("query_ids", "query_id_flat", "doc_ids", "doc_id_flat", "query_id_own", "doc_id_own").mapInArrow(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
     return ranked(near, k)
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions.ids import clean_id
-from palimpsest.operators import flows, graph, lookup, retrieval, workers
+from palimpsest.operators import flows, retrieval
 from palimpsest.operators import writepath as w
-from palimpsest.plans import graph_queries, recall_queries, repair
-from palimpsest.plans.recall_queries import _ENTITY_HITS, _IDENTITY, _VECTORS, _tokens
+from palimpsest.plans import graph_queries, repair
+from palimpsest.plans.recall_queries import _BM25, _IDENTITY, _VECTORS, _tokens
 from palimpsest.plans.views import ident, over
 from palimpsest.plans.write_queries import _FOLD, _norm
 from palimpsest.sources import bindings as b
@@ -316,9 +316,44 @@ def g_dynamic_texts(spark: SparkSession, d: str) -> DataFrame:
     return flows.dynamic_texts(_held(spark, d), b.memories(spark, d), b.edges(spark, d), b.observations(spark, d)).select("request", "position", "text")
 
 
+_SKIPPED = _VECTORS.replace("HAVING sum(x * x) > 0) nd ON nd.id = doc_id)", "HAVING sum(x * x) > 0) nd ON nd.id = doc_id) s").replace("WHERE score >= 0.12)", "WHERE score >= 0.12 AND NOT EXISTS (SELECT 1 FROM held WHERE held.request = s.query_id AND held.memory_id = s.doc_id))")
+
+
+@query(
+    over("m_", "g_", "o_", "e_")
+    + f""", {_HELD}, t AS (SELECT request, held.memory_space, 1 AS source, memory_id AS ord, {_norm(_BODY.format("m"))} AS text FROM held JOIN m_ m USING (memory_space, memory_id)
+UNION ALL SELECT DISTINCT request, h.memory_space, 2, o.observation_id, {_norm(_BODY.format("o"))} FROM held h JOIN g_ g ON g.memory_space = h.memory_space AND g.from_id = h.memory_id AND edge_type = 'derived_from' AND to_kind = 'observation'
+  JOIN o_ o ON o.memory_space = h.memory_space AND o.observation_id = g.to_id),
+f AS (SELECT request, memory_space, lower(text) AS folded, min(struct_pack(s := source, a := ord, t := text)) AS f FROM t WHERE text <> '' GROUP BY 1, 2, 3),
+pt AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY f.s, f.a, folded) AS position FROM f),
+asked AS (SELECT request AS query_id, memory_space AS grp, string_agg(f.t, chr(10) ORDER BY position) AS text FROM pt WHERE position <= 8 GROUP BY 1, 2),
+i AS (SELECT memory_space, entity_key, {_IDENTITY} AS identity FROM (SELECT *, identity_profile AS p FROM e_)),
+docs AS (SELECT m.memory_space AS grp, memory_id AS doc_id, array_to_string(list_filter([i.identity, title, summary, content], lambda x: trim(coalesce(x, ''), ' ') <> ''), chr(10)) AS text FROM m_ m LEFT JOIN i USING (memory_space, entity_key) WHERE status IN ('active', 'stale', 'superseded')),
+words AS (SELECT grp, doc_id, {_tokens("text")} AS w FROM docs), q AS (SELECT query_id, grp, unnest({_tokens("text")}) AS token FROM asked),
+"""
+    + _BM25
+    + ", "
+    + _SKIPPED
+    + """, lx AS (SELECT query_id, doc_id, score FROM bm25 WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM held WHERE held.request = query_id AND held.memory_id = doc_id)),
+lists AS (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lx) WHERE rank <= 24),
+fused AS (SELECT query_id, doc_id, round(sum(1 / (50 + rank)::DOUBLE), 12) AS score FROM lists GROUP BY ALL),
+cand AS (SELECT * FROM (SELECT query_id AS request, grp AS memory_space, m_.memory_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, status = 'active' DESC, salience DESC NULLS LAST, confidence DESC NULLS LAST, updated_at DESC NULLS LAST, m_.memory_id) AS rank
+  FROM fused JOIN asked USING (query_id) JOIN m_ ON m_.memory_space = grp AND m_.memory_id = doc_id WHERE score >= 0.01) WHERE rank <= 14),
+bt AS (SELECT grp, doc_id, w AS t FROM words),
+jd AS (SELECT c.request, h.memory_id AS a, c.memory_id AS b, rank, round(CASE WHEN len(x.t) > 0 AND len(y.t) > 0 THEN coalesce(list_sum([least(len(list_filter(x.t, lambda v: v = z)), len(list_filter(y.t, lambda v: v = z))) for z in list_distinct(x.t)]), 0) / sqrt(len(x.t) * len(y.t)) ELSE 0 END, 6) AS weight
+  FROM cand c JOIN held h ON h.request = c.request JOIN bt x ON x.grp = c.memory_space AND x.doc_id = h.memory_id JOIN bt y ON y.grp = c.memory_space AND y.doc_id = c.memory_id),
+best AS (SELECT * FROM jd WHERE weight >= 0.2 QUALIFY row_number() OVER (PARTITION BY request, a ORDER BY weight DESC, rank, b) = 1),
+new AS (SELECT request, b, row_number() OVER (PARTITION BY request ORDER BY min(rank), b) AS place FROM best GROUP BY 1, 2)
+SELECT request, memory_id, 0 AS round, 0 AS place FROM held UNION ALL SELECT request, b, 1, place FROM new WHERE place <= 24 - (SELECT count(*) FROM held WHERE held.request = new.request)"""
+)
+def g_dynamic_step(spark: SparkSession, d: str) -> DataFrame:
+    """The first of the two rounds of ``g_dynamic_recall``."""
+    out, _ = flows.dynamic_recall(_held(spark, d), b.memories(spark, d), b.entities(spark, d), b.edges(spark, d), b.observations(spark, d), repair.rule_judge, rounds=1)
+    return out.select("request", "memory_id", "round", "place")
+
+
 @query()
 def g_dynamic_recall(spark: SparkSession, d: str) -> DataFrame:
     """The requests of every entity whose number is divisible by 20, against all memories of its space."""
-    judge = lambda pairs: repair.rule_judge(pairs)
-    out, _ = flows.dynamic_recall(_held(spark, d), b.memories(spark, d), b.entities(spark, d), b.edges(spark, d), b.observations(spark, d), judge)
+    out, _ = flows.dynamic_recall(_held(spark, d), b.memories(spark, d), b.entities(spark, d), b.edges(spark, d), b.observations(spark, d), repair.rule_judge)
     return out.select("request", "memory_id", "round", "place")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.checkpoints import materialise
 from palimpsest.functions import text
-from palimpsest.operators import graph, retrieval
+from palimpsest.operators import flows, graph, retrieval
 from palimpsest.plans.graph_queries import _FRONTIER
-from palimpsest.plans.recall_queries import _tokens
+from palimpsest.plans.recall_queries import _BM25, _IDENTITY, _VECTORS, _tokens
 from palimpsest.plans.views import over
+from palimpsest.plans.write_queries import _norm
 from palimpsest.sources import bindings as b
 
 CANDIDATES = 14
@@ -57,6 +59,44 @@ def cross_entity_repair(memories: DataFrame, entities: DataFrame, edges: DataFra
     return graph.insertable(edges, kept, ["edge_id"])
 
 
+def repaired_by_retrieval(anchors: DataFrame, memories: DataFrame, entities: DataFrame, edges: DataFrame, observations: DataFrame, judge: Callable[[DataFrame], DataFrame] = rule_judge) -> DataFrame:
+    """The new edges (request, memory_space, from_id, to_id, edge_type, weight, reason) across entities for the anchors (memory_space,
+    entity_key), each by itself: the memories of other entities that hybrid retrieval finds for its frontier are judged against it, and
+    the relations pruned within the anchor's own graph, as in ``cross_entity_repair``. What the store has is not proposed again; of
+    edges that two anchors propose the one of the smaller request is made."""
+    frontier = graph.frontiers(memories).join(anchors.select("memory_space", "entity_key").distinct(), ["memory_space", "entity_key"], "left_semi")
+    frontier = frontier.select(F.concat_ws("|", "memory_space", "entity_key").alias("request"), "memory_space", F.col("entity_key").alias("anchor"), "memory_id")
+    frontier = materialise(frontier, "frontier")
+    found = materialise(flows.related_candidates(frontier, memories, entities, edges, observations), "related")
+    body = memories.select("memory_space", "memory_id", F.concat_ws(" ", "title", "summary", "content").alias("text"))
+    pairs = found.join(frontier.select("request", "memory_id"), "request").join(body.withColumnRenamed("text", "left_text"), ["memory_space", "memory_id"])
+    pairs = pairs.join(body.withColumnsRenamed({"memory_id": "candidate_id", "text": "right_text"}), ["memory_space", "candidate_id"])
+    # the graph of each request is pruned by itself, so the request stands in for the space
+    judged = judge(pairs).select(
+        F.col("request").alias("memory_space"), F.concat_ws("|", "memory_id", "candidate_id").alias("edge_id"), F.lit("memory").alias("from_kind"), F.col("memory_id").alias("from_id"),
+        F.lit("memory").alias("to_kind"), F.col("candidate_id").alias("to_id"), "edge_type", "weight", "reason", "rank",
+    )
+    judged = materialise(judged, "judged")
+    own = judged.select("memory_space", F.explode(F.array("from_id", "to_id")).alias("memory_id")).distinct()
+    kept = graph.normalised(judged, own, ["rank", "edge_id"])
+    kept = graph.sparsified(kept, frontier.select(F.col("request").alias("memory_space"), "memory_id"), rank="rank")
+    spaces = frontier.select("request", F.col("memory_space").alias("space")).distinct()
+    marks = own.withColumnRenamed("memory_space", "request").join(spaces, "request").withColumnRenamed("space", "memory_space")
+    marks = marks.join(memories.select("memory_space", "memory_id", "metadata"), ["memory_space", "memory_id"]).select(F.col("request").alias("memory_space"), "memory_id", "metadata")
+    kept = graph.pruned_components(materialise(graph.without_historical_conflicts(kept, marks), "kept"))
+    placed = kept.withColumnRenamed("memory_space", "request").join(spaces, "request").withColumnRenamed("space", "memory_space")
+    new = graph.insertable(edges, placed, ["request", "edge_id"])
+    return new.select("request", "memory_space", "from_id", "to_id", "edge_type", "weight", "reason")
+
+
+def g_repair_by_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity whose number is divisible by 20 as an anchor, against all memories of its space."""
+    e = b.entities(spark, d)
+    anchors = e.where(F.conv(F.right("entity_key", F.lit(4)), 16, 10).cast("int") % 20 == 0)
+    new = repaired_by_retrieval(anchors, b.memories(spark, d), e, b.edges(spark, d), b.observations(spark, d))
+    return new.select("request", "from_id", "to_id", "edge_type", "weight")
+
+
 def g_cross_entity_repair(spark: SparkSession, d: str) -> DataFrame:
     new = cross_entity_repair(b.memories(spark, d), b.entities(spark, d), b.edges(spark, d))
     return new.select("memory_space", "from_id", "to_id", "edge_type", "weight")
@@ -68,6 +108,7 @@ def _bigrams(tokens: str) -> str:
 
 
 _BODY = "concat_ws(' ', title, summary, content)"
+_TEXT = "coalesce(nullif(trim({0}.summary, ' '), ''), {0}.content)"
 _REPAIR = (
     over("m_", "e_", "g_", recursive=True)
     + f""", {_FRONTIER},
@@ -85,4 +126,39 @@ root AS (SELECT a, min(b) AS root FROM reach GROUP BY 1), c AS (SELECT v.*, coun
 SELECT memory_space, f AS from_id, t AS to_id, 'related_to' AS edge_type, weight FROM c WHERE (n <= 1 OR weight >= most - 0.15::DOUBLE)
   AND NOT EXISTS (SELECT 1 FROM g_ WHERE g_.memory_space = c.memory_space AND edge_type = 'related_to' AND from_kind = 'memory' AND to_kind = 'memory' AND least(from_id, to_id) = f AND greatest(from_id, to_id) = t)"""
 )
-QUERIES, ORACLE = {"g_cross_entity_repair": g_cross_entity_repair}, {"g_cross_entity_repair": _REPAIR}
+_RETRIEVED = (
+    over("m_", "e_", "g_", "o_", recursive=True)
+    + f""", {_FRONTIER},
+fa AS (SELECT f.memory_space || '|' || f.entity_key AS request, f.memory_space, f.entity_key AS anchor, f.memory_id FROM front f JOIN e_ USING (memory_space, entity_key) WHERE CAST('0x' || right(f.entity_key, 4) AS INT) % 20 = 0),
+tx AS (SELECT request, fa.memory_space, anchor, 1 AS source, memory_id AS ord, {_norm(_TEXT.format("m"))} AS text FROM fa JOIN m_ m USING (memory_space, memory_id)
+UNION ALL SELECT DISTINCT request, h.memory_space, anchor, 2, o.observation_id, {_norm(_TEXT.format("o"))} FROM fa h JOIN g_ g ON g.memory_space = h.memory_space AND g.from_id = h.memory_id AND edge_type = 'derived_from' AND to_kind = 'observation'
+  JOIN o_ o ON o.memory_space = h.memory_space AND o.observation_id = g.to_id),
+ft AS (SELECT request, memory_space, anchor, lower(text) AS folded, min(struct_pack(s := source, a := ord, t := text)) AS f FROM tx WHERE text <> '' GROUP BY 1, 2, 3, 4),
+pt AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY f.s, f.a, folded) AS position FROM ft),
+asked AS (SELECT request AS query_id, memory_space AS grp, anchor, string_agg(f.t, chr(10) ORDER BY position) AS text FROM pt WHERE position <= 8 GROUP BY 1, 2, 3),
+i AS (SELECT memory_space, entity_key, {_IDENTITY} AS identity FROM (SELECT *, identity_profile AS p FROM e_)),
+docs AS (SELECT m.memory_space AS grp, memory_id AS doc_id, entity_key AS own, array_to_string(list_filter([i.identity, title, summary, content], lambda x: trim(coalesce(x, ''), ' ') <> ''), chr(10)) AS text FROM m_ m LEFT JOIN i USING (memory_space, entity_key) WHERE status IN ('active', 'stale', 'superseded')),
+words AS (SELECT grp, doc_id, {_tokens("text")} AS w FROM docs), q AS (SELECT query_id, grp, unnest({_tokens("text")}) AS token FROM asked),
+"""
+    + _BM25
+    + ", "
+    + _VECTORS.replace("WHERE score >= 0.12)", "WHERE score >= 0.12 AND EXISTS (SELECT 1 FROM asked z JOIN docs y ON y.grp = z.grp WHERE z.query_id = s.query_id AND y.doc_id = s.doc_id AND y.own IS DISTINCT FROM z.anchor))").replace("JOIN (SELECT id, sum(x * x) AS n FROM dv GROUP BY 1 HAVING sum(x * x) > 0) nd ON nd.id = doc_id)", "JOIN (SELECT id, sum(x * x) AS n FROM dv GROUP BY 1 HAVING sum(x * x) > 0) nd ON nd.id = doc_id) s")
+    + f""", lx AS (SELECT bm25.query_id, bm25.doc_id, score FROM bm25 JOIN asked z USING (query_id) JOIN docs y ON y.grp = z.grp AND y.doc_id = bm25.doc_id WHERE score > 0 AND y.own IS DISTINCT FROM z.anchor),
+lists AS (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lx) WHERE rank <= 24),
+fused AS (SELECT query_id, doc_id, round(sum(1 / (50 + rank)::DOUBLE), 12) AS score FROM lists GROUP BY ALL),
+cand AS (SELECT * FROM (SELECT query_id AS request, grp AS memory_space, m_.memory_id, m_.entity_key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, status = 'active' DESC, salience DESC NULLS LAST, confidence DESC NULLS LAST, updated_at DESC NULLS LAST, m_.memory_id) AS rank
+  FROM fused JOIN asked USING (query_id) JOIN m_ ON m_.memory_space = grp AND m_.memory_id = doc_id WHERE score >= 0.01) WHERE rank <= 14),
+bt AS (SELECT memory_space, memory_id, {_tokens(_BODY)} AS t FROM m_),
+pairs AS (SELECT c.request, c.memory_space, fa.memory_id AS a, c.memory_id AS b, rank, x.t AS ta, y.t AS tb FROM cand c JOIN e_ USING (memory_space, entity_key) JOIN fa ON fa.request = c.request JOIN bt x ON x.memory_space = c.memory_space AND x.memory_id = fa.memory_id JOIN bt y ON y.memory_space = c.memory_space AND y.memory_id = c.memory_id),
+jd AS (SELECT *, round(CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN coalesce(list_sum([least(len(list_filter(ta, lambda y: y = t)), len(list_filter(tb, lambda y: y = t))) for t in list_distinct(ta)]), 0) / sqrt(len(ta) * len(tb)) ELSE 0 END, 6) AS weight FROM pairs),
+norm_ AS (SELECT request, memory_space, least(a, b) AS f, greatest(a, b) AS t, weight, rank, a || '|' || b AS edge_id FROM jd WHERE weight >= 0.2 AND a <> b QUALIFY row_number() OVER (PARTITION BY request, least(a, b), greatest(a, b) ORDER BY rank, a || '|' || b) = 1),
+own_ AS (SELECT n.*, CASE WHEN p.memory_id IS NOT NULL THEN f WHEN z.memory_id IS NOT NULL THEN t END AS owner FROM norm_ n LEFT JOIN fa p ON p.request = n.request AND p.memory_id = f LEFT JOIN fa z ON z.request = n.request AND z.memory_id = t),
+sp AS (SELECT * FROM own_ WHERE owner IS NULL UNION ALL SELECT * FROM (SELECT * FROM own_ WHERE owner IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request, owner ORDER BY weight DESC, rank, edge_id) = 1)),
+v AS (SELECT *, request || chr(9) || f AS va, request || chr(9) || t AS vb FROM sp), l AS (SELECT va AS a, vb AS b FROM v UNION SELECT vb, va FROM v), reach AS (SELECT a, a AS b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+root AS (SELECT a, min(b) AS root FROM reach GROUP BY 1), c AS (SELECT v.*, count(*) OVER (PARTITION BY root) AS n, max(weight) OVER (PARTITION BY root) AS most FROM v JOIN root ON root.a = v.va),
+new AS (SELECT * FROM c WHERE n <= 1 OR weight >= most - 0.15::DOUBLE QUALIFY row_number() OVER (PARTITION BY memory_space, f, t ORDER BY request, edge_id) = 1)
+SELECT request, f AS from_id, t AS to_id, 'related_to' AS edge_type, weight FROM new
+  WHERE NOT EXISTS (SELECT 1 FROM g_ WHERE g_.memory_space = new.memory_space AND edge_type = 'related_to' AND from_kind = 'memory' AND to_kind = 'memory' AND least(from_id, to_id) = f AND greatest(from_id, to_id) = t)"""
+)
+QUERIES = {"g_cross_entity_repair": g_cross_entity_repair, "g_repair_by_retrieval": g_repair_by_retrieval}
+ORACLE = {"g_cross_entity_repair": _REPAIR, "g_repair_by_retrieval": _RETRIEVED}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest import checkpoints
 from palimpsest.functions import text
 from palimpsest.operators import flows, graph, retrieval, stats, workers
-from palimpsest.sources.snapshots import Snapshots, index_states
+from palimpsest.sources.snapshots import BucketedSnapshots, Snapshots, index_states
 
 MEMORY = "memory_space string, memory_id string, entity_key string, title string, summary string, content string, confidence double, salience double, status string, latest_source_observation_id string, metadata string, created_at double, updated_at double"
 ENTITY = "entity_key string, memory_space string, display_name string, identity_profile struct<schema_version:int,who:string,surface_forms:array<string>,stable_qualifiers:array<string>,definition:string>, metadata string, created_at double, updated_at double"
@@ -233,3 +233,24 @@ def test_a_pointer_that_cannot_be_read_is_an_error(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017, PT011
         s.write(spark.createDataFrame([(2,)], schema))
     assert re.fullmatch(r"v1", "".join(p.name for p in (tmp_path / "t").glob("v*")))
+
+
+def test_a_merge_rewrites_only_the_buckets_of_its_batch(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v string").schema
+    held = BucketedSnapshots(spark, f"file://{tmp_path}/b", schema, ["k"], buckets=8)
+    newer = lambda old, new: new.unionByName(old.join(new.select("k"), "k", "left_anti"))
+    assert held.read().count() == 0
+    held.merge(spark.createDataFrame([], schema), newer)
+    held.merge(spark.createDataFrame([(i, "a") for i in range(100)], schema), newer)
+    held.merge(spark.createDataFrame([(7, "b")], schema), newer)
+    assert sorted(map(tuple, held.read().collect())) == sorted([(i, "b" if i == 7 else "a") for i in range(100)])
+    assert len(list((tmp_path / "b/v1").glob("bucket=*"))) == 8 and len(list((tmp_path / "b/v2").glob("bucket=*"))) == 1
+
+
+def test_candidates_of_other_entities(spark):
+    e = spark.createDataFrame([entity("e1", "ann"), entity("e2", "bob")], ENTITY)
+    rows = [memory("m1", "e1", "the red bridge was closed"), memory("m2", "e1", "the red bridge was closed again"), memory("m3", "e2", "a red bridge"), memory("m4", "e9", "the red bridge was closed"), memory("m5", "e2", "red bridge", "archived")]
+    m = spark.createDataFrame(rows, MEMORY)
+    edges, obs = spark.createDataFrame([], EDGE), spark.createDataFrame([], "observation_id string, memory_space string, summary string, content string")
+    frontier = spark.createDataFrame([("r1", "s", "e1", "m1"), ("r9", "s", "e9", "m4")], "request string, memory_space string, anchor string, memory_id string")
+    assert [(r.request, r.candidate_id) for r in flows.related_candidates(frontier, m, e, edges, obs).collect()] == [("r1", "m3")]
