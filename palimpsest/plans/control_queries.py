@@ -45,12 +45,13 @@ def q_point_entity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     over("m_", "v_")
-    + """, asked AS (SELECT memory_space AS request, list(memory_id ORDER BY version DESC, version_id) AS ids FROM v_ GROUP BY 1),
+    + """, asked AS (SELECT memory_space || '|' || trigger_observation_id AS request, list(memory_id ORDER BY version DESC, version_id) AS ids FROM v_ WHERE trigger_observation_id IS NOT NULL GROUP BY 1),
   placed AS (SELECT request, unnest(ids) AS memory_id, generate_subscripts(ids, 1) - 1 AS p FROM asked)
 SELECT a.request, m.memory_id, max(p) AS position FROM placed a JOIN m_ m USING (memory_id) WHERE trim(memory_id) <> '' GROUP BY 1, 2"""
 )
 def q_memories_by_ids(spark: SparkSession, d: str) -> DataFrame:
-    v = b.versions(spark, d).groupBy(F.col("memory_space").alias("request"))
+    """The memories that one observation changed, newest change first: a request's ids are few."""
+    v = b.versions(spark, d).where("trigger_observation_id IS NOT NULL").groupBy(F.concat_ws("|", "memory_space", "trigger_observation_id").alias("request"))
     asked = v.agg(F.array_sort(F.collect_list(F.struct((-F.col("version")).alias("v"), "version_id", "memory_id"))).alias("l"))
     asked = asked.select("request", F.transform("l", lambda x: x["memory_id"]).alias("ids"))
     return lookup.by_ids(b.memories(spark, d).select("memory_id"), "memory_id", asked).select("request", "memory_id", "position")

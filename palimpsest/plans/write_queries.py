@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.functions.ids import clean_id
-from palimpsest.operators import stats
+from palimpsest.operators import retrieval, stats
 from palimpsest.operators import writepath as w
 from palimpsest.plans.views import ident, over
 from palimpsest.sources import bindings as b
@@ -191,3 +192,21 @@ def v_purged(spark: SparkSession, d: str) -> DataFrame:
     m = b.memories(spark, d)
     left = w.purged(m.where("status = 'archived'"), m, b.versions(spark, d), b.edges(spark, d))
     return stats.table_counts(dict(zip(("memories", "versions", "edges"), left, strict=True)))
+
+
+@query(
+    over("m_", "v_", "g_", "e_")
+    + """, x AS (SELECT memory_space, memory_id FROM m_ WHERE status = 'archived')
+SELECT 'memory' AS kind, memory_space, memory_id AS id FROM m_ ANTI JOIN x USING (memory_space, memory_id) UNION ALL SELECT 'version', memory_space, version_id FROM v_ ANTI JOIN x USING (memory_space, memory_id)
+UNION ALL SELECT 'edge', memory_space, edge_id FROM g_ g WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.memory_space = g.memory_space AND (x.memory_id = from_id OR (to_kind = 'memory' AND x.memory_id = to_id)))
+UNION ALL SELECT 'document', memory_space, 'memory:' || memory_space || ':' || memory_id FROM m_ ANTI JOIN x USING (memory_space, memory_id) UNION ALL SELECT 'document', memory_space, 'entity:' || memory_space || ':' || entity_key FROM e_"""
+)
+def v_purged_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every table, and of the index, after the archived memories were purged."""
+    m = b.memories(spark, d)
+    gone = m.where("status = 'archived'")
+    left = w.purged(gone, m, b.versions(spark, d), b.edges(spark, d))
+    index = retrieval.projections(m, b.entities(spark, d))
+    index = index.join(gone.select(text.ref_doc("memory", F.col("memory_space"), F.col("memory_id")).alias("ref_doc")), "ref_doc", "left_anti")
+    part = lambda df, kind, i: df.select(F.lit(kind).alias("kind"), "memory_space", F.col(i).alias("id"))
+    return part(left[0], "memory", "memory_id").unionByName(part(left[1], "version", "version_id")).unionByName(part(left[2], "edge", "edge_id")).unionByName(part(index, "document", "ref_doc"))

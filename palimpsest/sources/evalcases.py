@@ -12,6 +12,8 @@ citations_min:int,non_empty_answer:boolean,required_uncertainties:array<string>,
 judge_required_facts:array<string>,judge_forbidden_facts:array<string>>>,
 expected map<string,struct<entity_count:int,memory_count:int,observation_count:int,recall_audit_count:int,memory_status_counts:map<string,int>,
 edge_type_counts:map<string,int>,required_memory_texts:array<string>,forbidden_memory_texts:array<string>>>"""
+#: Rows of a report that its table for reading shows.
+SHOWN = 1_000
 MANIFEST = "matrix_id string, description string, suites array<struct<suite_id:string,description:string,cases:string,run_id:string,settle_timeout_seconds:double>>"
 
 
@@ -37,7 +39,10 @@ def suites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(summary: DataFrame, folder: str) -> str:
-    """Write a summary as JSON lines, and return it as a Markdown table. A summary has a row for each category or dimension."""
+    """Write a summary, whole, as JSON lines, and return it as a Markdown table for reading: of its first ``SHOWN`` rows, with a line
+    below that says so where there are more."""
     summary.coalesce(1).write.mode("overwrite").json(folder)
-    rows = [summary.columns, ["-"] * len(summary.columns), *[[str(v) for v in r] for r in summary.limit(1000).collect()]]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    shown = summary.limit(SHOWN + 1).collect()
+    rows = [summary.columns, ["-"] * len(summary.columns), *[[str(v) for v in r] for r in shown[:SHOWN]]]
+    table = "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    return table if len(shown) <= SHOWN else f"{table}\n\nMore than {SHOWN} rows; all are in {folder}."
