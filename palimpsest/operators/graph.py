@@ -16,6 +16,8 @@ from palimpsest.functions import text
 BUDGETS = {"updates": 8, "supports": 8, "contradicts": 6, "related_to": 6}
 TOTAL, HOPS, MAX_CONFLICTS = 24, 3, 8
 LEAST_WEIGHT, WEIGHT_MARGIN, FRONTIER = 0.2, 0.15, 8
+#: Ends of a memory, type and direction that may come before one that a step across entities admits; parts that a hub's ends are thinned in.
+AHEAD, SALTS = max(BUDGETS.values()) + 2 * TOTAL, 16
 UNDIRECTED, MIRRORED = ["contradicts", "related_to"], ["supports", "contradicts", "related_to"]
 
 
@@ -159,15 +161,42 @@ def _ends(edges: DataFrame) -> DataFrame:
     return side("from_id", "to_id", True).unionByName(side("to_id", "from_id", False))
 
 
-def _hop(frontier: DataFrame, ends: DataFrame, known: DataFrame, owners: DataFrame, cross: bool) -> DataFrame:
+def _owned_ends(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """``_ends`` with the entity_key of the other end (null for one that does not exist); of parallel edges of one type the first."""
+    ends = _ends(edges).groupBy("memory_space", "memory_id", "edge_type", "other", "outgoing").agg(F.min(F.struct("created_at", "edge_id")).alias("first"))
+    owned = ends.join(owners.select("memory_space", F.col("memory_id").alias("other"), "entity_key"), ["memory_space", "other"], "left")
+    return owned.select("memory_space", "memory_id", "other", "outgoing", "edge_type", "entity_key", "first.created_at", "first.edge_id")
+
+
+def _first_ends(ends: DataFrame) -> DataFrame:
+    """The ends (see ``_owned_ends``) that a step across entities can admit at all.
+
+    A step takes the first memories of a type up to its budget, past those of the anchor's entity, those held, and those that the
+    step reaches forwards from another memory; the latter two are at most ``TOTAL`` each. So an end is out of reach if, for every
+    entity that could be the anchor's, more than ``AHEAD`` ends of its memory, type and direction that are not of this entity come before it. A hub's
+    ends are first thinned in ``SALTS`` parts by the same rule, which holds in each of them, so that no task holds them all.
+    """
+    near = ["memory_space", "memory_id", "edge_type", "outgoing"]
+    out = ends.where("entity_key IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
+    for keys in ([*near, "salt"], near):
+        w = Window.partitionBy(*keys).orderBy("created_at", "edge_id")
+        of_one = F.row_number().over(Window.partitionBy(*keys, "entity_key").orderBy("created_at", "edge_id"))
+        out = out.withColumn("__one", of_one).withColumn("__most", F.max("__one").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("__n", F.row_number().over(w)).where(F.col("__n") - F.col("__most") <= AHEAD).drop("__one", "__most", "__n")
+    return out.drop("salt")
+
+
+def _hop(frontier: DataFrame, ends: DataFrame, known: DataFrame, cross: bool) -> DataFrame:
     """One step of all requests. frontier, known: (request, memory_space, anchor, time_intent, memory_id). Returns (request,
     memory_space, anchor, time_intent, memory_id, edge_id, edge_type, place): the memories that the budgets admit, new or not."""
-    met = frontier.join(ends, ["memory_space", "memory_id"])
+    if cross:
+        met = frontier.join(ends, ["memory_space", "memory_id"]).where(F.col("entity_key") != F.col("anchor"))
+    else:  # the anchor's own memories, and unknown ones: of a hub's edges to other entities none is met
+        of_anchor = ends.where("entity_key IS NOT NULL").withColumnRenamed("entity_key", "anchor")
+        met = frontier.join(of_anchor, ["memory_space", "memory_id", "anchor"])
+        met = met.unionByName(frontier.join(ends.where("entity_key IS NULL").drop("entity_key"), ["memory_space", "memory_id"]))
     w = Window.partitionBy("request", "edge_id").orderBy(F.desc("outgoing"))  # an edge within the frontier is followed once, forwards
     met = met.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    met = met.join(owners.select("memory_space", F.col("memory_id").alias("other"), "entity_key"), ["memory_space", "other"], "left")
-    far = F.coalesce(F.col("entity_key") != F.col("anchor"), F.lit(False))
-    met = met.where(far if cross else ~far)
     met = met.join(known.select("request", F.col("memory_id").alias("other"), F.lit(True).alias("__known")), ["request", "other"], "left")
     intent = F.coalesce("time_intent", F.lit(""))
     follow = F.when(intent == "history", F.lit(True)).when(intent.isin("current", "latest"), ~F.col("outgoing")).otherwise(F.col("__known").isNull())
@@ -197,11 +226,12 @@ def expanded(seeds: DataFrame, edges: DataFrame, memories: DataFrame, hops: int
     key = ["request", "memory_space", "anchor", "time_intent"]
     usable = memories if archived_compat else memories.where("status IS NULL OR status <> 'archived'")
     exists = usable.select("memory_space", "memory_id").distinct()
-    ends = _ends(edges)
+    ends = materialise(_owned_ends(edges, memories), "ends")
+    far = materialise(_first_ends(ends), "far") if hops else ends
     held = materialise(seeds.select(*key, "memory_id").distinct().withColumns({"hop": F.lit(0), "place": F.lit(0)}), "held")
     frontier = held
     for hop in range(1, hops + 2):
-        step = _hop(frontier.select(*key, "memory_id"), ends, held.select(*key, "memory_id"), memories, cross=hop > 1)
+        step = _hop(frontier.select(*key, "memory_id"), far if hop > 1 else ends, held.select(*key, "memory_id"), cross=hop > 1)
         added = step.join(exists, ["memory_space", "memory_id"], "left_semi").join(held.select("request", "memory_id"), ["request", "memory_id"], "left_anti")
         added = added.groupBy(*key, "memory_id").agg(F.min("place").alias("place")).withColumn("hop", F.lit(hop))
         new = materialise(held.unionByName(added), "held")

@@ -131,3 +131,24 @@ def test_short_refs(spark):
     assert sorted((r.request, r.id, r.ref) for r in refs.collect()) == [("p", "a", "m1"), ("q", "B", "m1"), ("q", "a", "m2")]
     cited = spark.createDataFrame([("q", 1, "m2"), ("q", 2, "m9")], "request string, position int, ref string")
     assert [(r.position, r.id) for r in g.restored(cited, refs).collect()] == [(1, "a")]
+
+
+def test_a_hub_is_thinned_and_nothing_is_lost(spark, monkeypatch):
+    """Hubs with very many edges, most of them to a few entities; expansions equal those over all edges."""
+    rnd = random.Random(11)
+    names = ["hub0", "hub1"] + [f"m{i}" for i in range(500)]
+    owner = {n: f"e{min(rnd.randrange(12), rnd.randrange(12))}" for n in names}
+    memories = spark.createDataFrame([("s", n, owner[n], "active") for n in names], "memory_space string, memory_id string, entity_key string, status string")
+    rows = []
+    for i in range(6_000):
+        a, b = rnd.choice(names[:2]) if i % 4 else rnd.choice(names), rnd.choice(names)
+        a, b = (a, b) if rnd.random() < 0.5 else (b, a)
+        rows.append((f"x{i:05d}", "s", "memory", a, "memory", b, rnd.choice(list(g.BUDGETS)), 0.5, float(rnd.randrange(300))))
+    edges = spark.createDataFrame(rows, "edge_id string, memory_space string, from_kind string, from_id string, to_kind string, to_id string, edge_type string, weight double, created_at double")
+    seeds = [(f"r{i}", "s", owner[n], intent, n) for i, (n, intent) in enumerate((n, t) for n in ["hub0", "hub1", *rnd.sample(names, 8)] for t in ("history", "latest", "uncertain"))]
+    seeds = spark.createDataFrame(seeds, "request string, memory_space string, anchor string, time_intent string, memory_id string")
+    ends = g._owned_ends(edges, memories)
+    assert g._first_ends(ends).count() < 0.8 * ends.count()
+    got = sorted(tuple(r) for r in g.expanded(seeds, edges, memories).collect())
+    monkeypatch.setattr(g, "AHEAD", 10**9)
+    assert got == sorted(tuple(r) for r in g.expanded(seeds, edges, memories).collect())
