@@ -168,7 +168,7 @@ class Places:
         yield "P", lines, _mixed(8, h[broke], *words)
 
 
-def in_parts(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def in_parts(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
     """(number of the first, texts) of runs of texts with about so many characters, or one longer text."""
     first = held = 0
     for i, t in enumerate(texts):
