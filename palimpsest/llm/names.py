@@ -41,6 +41,8 @@ RADIUS = 1
 #: Points that a cell may hold before it is split, pivots that split it (besides the empty name), width of a ring around a pivot, and
 #: levels of splitting, after which what is still large is compared in blocks.
 CELL, PIVOTS, RING, LEVELS = 128, 2, 4, 3
+#: Points of a block: a cell that is larger after all levels is cut into blocks, and each two of them are a cell.
+BLOCK = 1_000
 #: Longest pivot, and the distance from which on names are in the same outermost ring of it.
 PIVOT_LETTERS, FAR = 64, 128
 #: Shortest form that may be misspelt.
@@ -256,14 +258,14 @@ def metric_cells(points: DataFrame) -> DataFrame:
     points = points.select(*POINT, F.xxhash64("memory_space", "kind").alias("cell"))
     for level in range(LEVELS + 1):
         drawn = [F.min(F.when(F.length("form") <= PIVOT_LETTERS, F.struct(F.xxhash64("form", F.lit(10 * level + k)), "form")))["form"] for k in range(PIVOTS)]
-        large = points.groupBy("cell").agg(F.count("*").alias("n"), F.array(*drawn).alias("pivots")).where(F.col("n") > CELL)
+        large = points.groupBy("cell").agg(F.count("*").alias("n"), F.array(*drawn).alias("pivots")).where(F.col("n") > (CELL if level < LEVELS else BLOCK))
         large = materialise(large, "large")
         if large.isEmpty():
             return points
         split = points.join(large, "cell")
         rest = points.join(large.select("cell"), "cell", "left_anti")
         if level == LEVELS:
-            blocks = F.ceil(F.col("n") / CELL).cast("int")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             split = split.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("form"), "blocks"))
             split = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             split = split.select(*POINT, F.xxhash64("cell", F.least("block", "with"), F.greatest("block", "with")).alias("cell"))
@@ -403,12 +405,12 @@ def links(known: DataFrame, identifying: list[bool]) -> DataFrame:
     spelt = known.select("draft", "memory_space", *HINTS, F.get("strong", 0).alias("name"), F.explode(either).alias("k"))
     spelt = materialise(spelt.select("draft", "memory_space", *HINTS, "name", "k.*"), "spelt")
     at = ["memory_space", "key", "full"]
-    summary = [_agree().alias("clear"), F.min("name").alias("least"), F.max("name").alias("most"), *[F.min(h).alias(f"{h}_k") for h in HINTS]]
+    summary = [(F.min("draft") != F.max("draft")).alias("several"), _agree().alias("clear"), F.min("name").alias("least"), F.max("name").alias("most"), *[F.min(h).alias(f"{h}_k") for h in HINTS]]
     points = materialise(spelt.groupBy(*at).agg(*summary), "points")
     exploded = lambda df, target: df.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b"))
 
     # points at distance 0: names in full need a hint in common only where hints contradict, other forms nearly always
-    meeting = spelt.join(points.select(*at, "clear", "least", "most"), at)
+    meeting = spelt.join(points.where("several").select(*at, "clear", "least", "most"), at)  # most points are of one draft, and link none
     certain = F.when(F.col("full"), F.col("clear")).otherwise(F.col("clear") & (F.col("least") == F.col("most")) & ~F.substring("key", 1, 1).isin("s", "n"))
     any_hint = F.array(*[with_hint("key", h) for h in HINTS])
     target = F.when(certain, F.array("key")).when(F.col("full"), any_hint).otherwise(F.array(*evidence("key", identifying)))

@@ -98,6 +98,7 @@ def test_distances_are_a_metric():
 
 @pytest.mark.parametrize("cell", [8, 40, 100_000])
 def test_metric_join_matches_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(names, "BLOCK", cell)
     monkeypatch.setattr(names, "CELL", cell)  # many cells, split again and again, and blocks of what is left; or one cell
     rnd = random.Random(7)
     forms = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(7, 11))) for _ in range(150)} | {"q" * 300, "q" * 299, "q" * 297}
