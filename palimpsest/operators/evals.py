@@ -151,3 +151,36 @@ def identity_score(found: Column, expected: Column) -> Column:
         & some(items(expected["qualifiers_any"]), qualifiers)
         & every(items(expected["qualifiers_all"]), qualifiers)
     )
+
+
+#: Phrases that stand in for a definition.
+PLACEHOLDERS = ["具体主体", "命名主体", "特定主体", "generic subject", "specific subject", "named subject", "concrete subject"]
+
+
+def identity_failures(found: Column, expected: Column, semantics: Column) -> Column:
+    """The checks that an extracted identity fails against its expectation (forms_any, forms_all, qualifiers_any, qualifiers_all,
+    definition_required, definition_any, definition_all), by name. ``forms_all`` is the whole list of surface forms, ``qualifiers_all``
+    a part of it; a definition must hold some of ``definition_any`` and all of ``definition_all``, and where one is required neither
+    repeat the name nor be a placeholder. ``semantics`` is a judge's verdict on the definition (null for none asked). Empty lists
+    expect nothing; case and white space don't matter."""
+    fold = lambda c: text.casefold(text.normalize_text(c))
+    items = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), fold)
+    forms, qualifiers, who, said = items(found["surface_forms"]), items(found["stable_qualifiers"]), fold(found["who"]), fold(found["definition"])
+    want = {c: items(expected[c]) for c in ("forms_any", "forms_all", "qualifiers_any", "qualifiers_all", "definition_any", "definition_all")}
+    none_of = lambda w, have: (F.size(w) > 0) & ~F.arrays_overlap(w, have)
+    required = F.coalesce(expected["definition_required"], F.lit(False))
+    lacking, told = required & (said == ""), required & (who != "") & (said != "")
+    checks = {
+        "surface_forms: none expected": none_of(want["forms_any"], forms),
+        "surface_forms: missing": F.size(F.array_except(want["forms_all"], forms)) > 0,
+        "surface_forms: unexpected": (F.size(want["forms_all"]) > 0) & (F.size(F.array_except(forms, want["forms_all"])) > 0),
+        "stable_qualifiers: none expected": none_of(want["qualifiers_any"], qualifiers),
+        "stable_qualifiers: missing": F.size(F.array_except(want["qualifiers_all"], qualifiers)) > 0,
+        "definition: required": lacking,
+        "definition: repeats the name": told & (said == who),
+        "definition: placeholder": told & F.exists(F.array(*map(F.lit, PLACEHOLDERS)), lambda x: F.contains(said, x)),
+        "definition: none expected": ~lacking & (F.size(want["definition_any"]) > 0) & ~F.exists(want["definition_any"], lambda x: F.contains(said, x)),
+        "definition: missing": ~lacking & F.exists(want["definition_all"], lambda x: ~F.contains(said, x)),
+        "definition: judged": ~lacking & (said != "") & semantics.isNotNull() & (semantics != "pass"),
+    }
+    return F.filter(F.array(*[F.when(failed, F.lit(name)) for name, failed in checks.items()]), lambda x: x.isNotNull())

@@ -420,3 +420,35 @@ def e_identity_scores(spark: SparkSession, d: str) -> DataFrame:
     none: Column = F.array().cast("array<string>")
     want = F.struct(F.array("identity_profile.who").alias("who_any"), F.col("identity_profile.surface_forms").alias("forms_any"), none.alias("forms_all"), none.alias("qualifiers_any"), none.alias("qualifiers_all"))
     return p.join(e, ["memory_space", "match"]).select("draft_id", "entity_key", evals.identity_score(F.col("found"), want).alias("matched"))
+
+
+def _folded(c: str) -> str:
+    return f"list_transform(coalesce({c}, []), lambda x: {_FOLD.format(_norm('x'))})"
+
+
+@query(
+    over("d_", "e_")
+    + f""", x AS (SELECT draft_id, entity_key, CAST('0x' || right(draft_id, 1) AS INT) AS n, {_FOLD.format(_norm("who"))} AS who, {_folded("surface_forms")} AS forms, {_folded("stable_qualifiers")} AS quals, {_FOLD.format(_norm("d_.definition"))} AS said,
+  {_folded("e.identity_profile.surface_forms")} AS want_forms, {_folded("e.identity_profile.stable_qualifiers")} AS want_quals, {_FOLD.format(_norm("e.identity_profile.who"))} AS name
+  FROM d_ JOIN e_ e ON e.memory_space = d_.memory_space AND lower({_norm("surface_forms[1]")}) = e.identity_profile.who),
+y AS (SELECT *, n % 2 = 0 AS req, n % 2 = 0 AND said = '' AS lacking FROM x)
+SELECT draft_id, entity_key, array_to_string(list_filter([CASE WHEN len(want_forms) > 0 AND NOT list_has_any(want_forms, forms) THEN 'surface_forms: none expected' END,
+  CASE WHEN n % 3 = 0 AND len(list_filter(want_forms, lambda v: NOT list_contains(forms, v))) > 0 THEN 'surface_forms: missing' END, CASE WHEN n % 3 = 0 AND len(want_forms) > 0 AND len(list_filter(forms, lambda v: NOT list_contains(want_forms, v))) > 0 THEN 'surface_forms: unexpected' END,
+  CASE WHEN len(want_quals) > 0 AND NOT list_has_any(want_quals, quals) THEN 'stable_qualifiers: none expected' END, CASE WHEN n % 5 = 0 AND len(list_filter(want_quals, lambda v: NOT list_contains(quals, v))) > 0 THEN 'stable_qualifiers: missing' END,
+  CASE WHEN lacking THEN 'definition: required' END, CASE WHEN req AND who <> '' AND said <> '' AND said = who THEN 'definition: repeats the name' END, CASE WHEN NOT lacking AND NOT contains(said, 'someone') AND NOT contains(said, 'organisation') THEN 'definition: none expected' END,
+  CASE WHEN NOT lacking AND n % 4 = 0 AND NOT contains(said, name) THEN 'definition: missing' END, CASE WHEN NOT lacking AND said <> '' AND n % 7 IN (0, 1) THEN 'definition: judged' END], lambda v: v IS NOT NULL), '|') AS failures FROM y"""
+)
+def e_identity_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts against the profile of the entity that their first surface form names; what is expected, and how a judge finds the
+    definition, follows from the draft's number."""
+    e = b.entities(spark, d).select("memory_space", "entity_key", F.col("identity_profile.who").alias("match"), "identity_profile")
+    n = F.conv(F.right("draft_id", F.lit(1)), 16, 10).cast("int")
+    p = b.drafts(spark, d).select("memory_space", "draft_id", n.alias("n"), F.lower(text.normalize_text(F.get("surface_forms", F.lit(0)))).alias("match"), F.struct("who", "surface_forms", "stable_qualifiers", "definition").alias("found"))
+    forms, qualifiers = F.col("identity_profile.surface_forms"), F.col("identity_profile.stable_qualifiers")
+    want = F.struct(
+        forms.alias("forms_any"), F.when(F.col("n") % 3 == 0, forms).alias("forms_all"), qualifiers.alias("qualifiers_any"), F.when(F.col("n") % 5 == 0, qualifiers).alias("qualifiers_all"), (F.col("n") % 2 == 0).alias("definition_required"),
+        F.array(F.lit("Someone"), F.lit("organisation")).alias("definition_any"), F.when(F.col("n") % 4 == 0, F.array("match")).alias("definition_all"),
+    )
+    verdict = F.when(F.col("n") % 7 == 0, "fail").when(F.col("n") % 7 == 1, "unsure").when(F.col("n") % 7 < 5, "pass")
+    out = p.join(e, ["memory_space", "match"])
+    return out.select("draft_id", "entity_key", F.array_join(evals.identity_failures(F.col("found"), want, verdict), "|").alias("failures"))
