@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.checkpoints import materialise
 from palimpsest.functions.ids import clean_id
-from palimpsest.llm.groups import group_records
+from palimpsest.llm.groups import components
 from palimpsest.llm.looks import looks
 from palimpsest.partitions import spread
 
@@ -366,17 +366,17 @@ def hint_values(told: DataFrame) -> DataFrame:
 
 
 def with_hints(read: DataFrame) -> tuple[DataFrame, list[bool]]:
-    """(``read`` with a column for each of the ``KINDS`` kinds of hints that most drafts state, whether each kind identifies by
+    """(``read``, whose drafts have a number ``id``, with a column for each of the ``KINDS`` kinds of hints that most drafts state, whether each kind identifies by
     itself); see ``hint_values``. Of several values of one kind the smallest counts."""
-    told = materialise(read.select("draft", F.explode("told").alias("t")).select("draft", "t.*"), "told")
+    told = materialise(read.select("id", F.explode("told").alias("t")).select("id", "t.*"), "told")
     values = hint_values(told.groupBy("text").agg(F.max("bare").alias("bare")))
-    given = materialise(told.select("draft", "text").join(values, "text").select("draft", "kind", "value").distinct(), "hints")
+    given = materialise(told.select("id", "text").join(values, "text").select("id", "kind", "value").distinct(), "hints")
     counts = given.groupBy("kind", "value").agg(F.count("*").alias("n")).groupBy("kind")
     even = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))  # as many equally frequent values make two drafts agree as often
     top = counts.agg(F.sum("n").alias("n"), even.alias("even")).orderBy(F.desc("n"), "kind").limit(KINDS).collect()  # KINDS rows
     names_of = [r["kind"] for r in top] + [None] * (KINDS - len(top))
-    each = given.groupBy("draft").agg(*[F.min(F.when(F.col("kind") == F.lit(k), F.col("value"))).alias(h) for h, k in zip(HINTS, names_of, strict=True)])
-    return read.drop("told").join(each, "draft", "left"), [r["even"] >= IDENTIFYING for r in top] + [False] * (KINDS - len(top))
+    each = given.groupBy("id").agg(*[F.min(F.when(F.col("kind") == F.lit(k), F.col("value"))).alias(h) for h, k in zip(HINTS, names_of, strict=True)])
+    return read.drop("told").join(each, "id", "left"), [r["even"] >= IDENTIFYING for r in top] + [False] * (KINDS - len(top))
 
 
 def _agree() -> Column:
@@ -400,14 +400,15 @@ def with_hint(key: str, *hints: str) -> Column:
 
 
 def links(known: DataFrame, identifying: list[bool]) -> DataFrame:
-    """(memory_space, a, b): stars that connect drafts of one entity; a is a draft, b a point or two with what is required besides."""
+    """(a, b): stars that connect drafts of one entity, by their numbers; b is the smallest draft at a point, or at two, that has what is
+    required besides."""
     either = F.expr("concat(transform(strong, k -> struct(k AS key, true AS full)), transform(weak, k -> struct(k AS key, false AS full)))")
-    spelt = known.select("draft", "memory_space", *HINTS, F.get("strong", 0).alias("name"), F.explode(either).alias("k"))
-    spelt = materialise(spelt.select("draft", "memory_space", *HINTS, "name", "k.*"), "spelt")
+    spelt = known.select("id", "memory_space", *HINTS, F.get("strong", 0).alias("name"), F.explode(either).alias("k"))
+    spelt = materialise(spelt.select("id", "memory_space", *HINTS, "name", "k.*"), "spelt")
     at = ["memory_space", "key", "full"]
-    summary = [(F.min("draft") != F.max("draft")).alias("several"), _agree().alias("clear"), F.min("name").alias("least"), F.max("name").alias("most"), *[F.min(h).alias(f"{h}_k") for h in HINTS]]
+    summary = [(F.min("id") != F.max("id")).alias("several"), _agree().alias("clear"), F.min("name").alias("least"), F.max("name").alias("most"), *[F.min(h).alias(f"{h}_k") for h in HINTS]]
     points = materialise(spelt.groupBy(*at).agg(*summary), "points")
-    exploded = lambda df, target: df.select("memory_space", "draft", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b"))
+    exploded = lambda df, target: df.select("memory_space", "id", F.explode(F.filter(target, lambda x: x.isNotNull())).alias("b"))
 
     # points at distance 0: names in full need a hint in common only where hints contradict, other forms nearly always
     meeting = spelt.join(points.where("several").select(*at, "clear", "least", "most"), at)  # most points are of one draft, and link none
@@ -431,20 +432,19 @@ def links(known: DataFrame, identifying: list[bool]) -> DataFrame:
 
     found = materialise(shared.unionByName(misspelt), "links")
     # a key that one draft has links nothing; most keys are such
-    met = found.groupBy("memory_space", "b").agg(F.min("draft").alias("first"), F.max("draft").alias("last")).where("first <> last")
-    shared = found.join(met.select("memory_space", "b"), ["memory_space", "b"], "left_semi")
-    return shared.select("memory_space", F.concat(F.lit("@"), F.col("draft")).alias("a"), F.concat(F.lit("~"), F.col("b")).alias("b"))
+    met = found.groupBy("memory_space", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    return found.join(met, ["memory_space", "b"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
 
 
 def draft_entities(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
     """(draft, memory_space, who, hints, entity) of every draft with an id and a space. ``entity`` is equal
     for drafts that denote the same entity of the space; a draft that nothing links is its own. Null and empty names, surface
     forms and qualifiers are ignored. No drafts give no rows. Other columns of the tables are ignored."""
-    known, identifying = with_hints(materialise(read_drafts(drafts, name_aliases), "read"))
+    numbered = read_drafts(drafts, name_aliases).withColumn("id", F.monotonically_increasing_id())  # written once, so numbers are fixed
+    known, identifying = with_hints(materialise(numbered, "read"))
     known = materialise(known, "drafts")
-    grouped = group_records(links(known, identifying), "a", "b", ["memory_space"]).where("key LIKE '@%'")
-    entity = grouped.select(F.expr("substring(key, 2)").alias("draft"), F.col("group_key").alias("entity"))
-    return known.drop("strong", "weak").join(entity, "draft", "left").withColumn("entity", F.coalesce("entity", F.concat(F.lit("@"), F.col("draft"))))
+    entity = components(links(known, identifying)).select(F.col("v").alias("id"), F.col("root").alias("entity"))
+    return known.drop("strong", "weak").join(entity, "id", "left").withColumn("entity", F.coalesce("entity", "id")).drop("id")
 
 
 def variant_pairs(drafts: DataFrame, name_aliases: DataFrame) -> DataFrame:
