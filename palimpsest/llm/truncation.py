@@ -527,8 +527,12 @@ def near_copies(texts: DataFrame) -> DataFrame:
     buckets = materialise(buckets.where("many > 1"), "buckets")
     few = banded.join(buckets.where(F.col("many") <= BUCKET_PAIRS).select("band"), "band").select("band", "doc")
     pairs = few.join(few.withColumnRenamed("doc", "other"), "band").where("doc < other").select("doc", "other").distinct()
-    one = texts.select(F.col("doc"), F.col("shingles").alias("s_a"))
-    other = texts.select(F.col("doc").alias("other"), F.col("shingles").alias("s_b"))
+    # written first, so that only the shingles of texts in a pair are moved
+    pairs = materialise(pairs, "candidates")
+    wanted = pairs.select("doc").unionByName(pairs.select(F.col("other").alias("doc"))).distinct()
+    compared = materialise(texts.select("doc", "shingles").join(wanted, "doc", "left_semi"), "compared")
+    one = compared.select(F.col("doc"), F.col("shingles").alias("s_a"))
+    other = compared.select(F.col("doc").alias("other"), F.col("shingles").alias("s_b"))
     both = pairs.join(one, "doc").join(other, "other")
     common = F.size(F.array_intersect("s_a", "s_b"))
     close = both.where(common >= SIMILAR * (F.size("s_a") + F.size("s_b") - common))
