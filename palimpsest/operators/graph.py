@@ -75,7 +75,8 @@ def sparsified(edges: DataFrame, frontier: DataFrame, ranks: DataFrame | None =
 def connected(links: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex connected with each vertex of the links (a, b), by alternating star steps: every vertex
     hands its larger neighbours to its smallest one, then its smaller ones. Rounds grow with the logarithm of the number of
-    vertices; a hub's neighbours are joined with one row, never collected."""
+    vertices; a hub's neighbours are joined with one row, never collected. Vertices are numbered once, so rounds move numbers,
+    however long the names are; the root's name is the smallest of its group."""
 
     def towards_least(df: DataFrame, larger: bool) -> DataFrame:
         both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else df
@@ -87,8 +88,11 @@ def connected(links: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    start = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = materialise(start, "stars"), None
+    vertices = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+    vertices = materialise(vertices.withColumn("id", F.monotonically_increasing_id()), "vertices")  # written once, so numbers are fixed
+    number = lambda end, name: vertices.select(F.col("v").alias(end), F.col("id").alias(name))
+    numbered = links.where("a <> b").join(number("a", "x"), "a").join(number("b", "y"), "b")
+    now, before = materialise(numbered.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "stars"), None
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
     seen = now.agg(F.count("*"), mark).first()
     while True:
@@ -99,8 +103,9 @@ def connected(links: DataFrame) -> DataFrame:
         if found == seen:
             break
         seen = found
-    vertices = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-    return vertices.join(now.select(F.col("a").alias("v"), F.col("b").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    placed = vertices.join(now.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = placed.groupBy("root").agg(F.min("v").alias("name"))
+    return placed.join(names, "root").select("v", F.col("name").alias("root"))
 
 
 def pruned_components(edges: DataFrame, margin: float = WEIGHT_MARGIN) -> DataFrame:
