@@ -156,6 +156,17 @@ def test_dynamic_recall(spark):
     assert flows.dynamic_recall(full, m, e, edges, obs, judge)[0].count() == graph.TOTAL  # no room, nothing is searched
 
 
+def test_dynamic_recall_makes_no_row_a_pair_that_shares_a_word(spark, monkeypatch):
+    e = spark.createDataFrame([entity("e1", "ann")], ENTITY)
+    m = spark.createDataFrame([memory("m1", "e1", "the red bridge"), memory("m2", "e1", "a red bridge"), memory("m3", "e2", "the red boat"), memory("m4", "e1", "the red bridge again")], MEMORY)
+    edges, obs = spark.createDataFrame([], EDGE), spark.createDataFrame([], "observation_id string, memory_space string, summary string, content string")
+    held = spark.createDataFrame([("r", "s", "m1")], "request string, memory_space string, memory_id string")
+    judge = lambda pairs: pairs.withColumns({"edge_type": F.lit("supports"), "weight": text.overlap_score(F.col("left_text"), F.col("right_text"))})
+    monkeypatch.setattr(retrieval, "bm25", lambda *_: pytest.fail("all pairs were joined"))
+    now, _ = flows.dynamic_recall(held, m, e, edges, obs, judge, rounds=1)
+    assert sorted(r.memory_id for r in now.collect()) == ["m1", "m2", "m3", "m4"]
+
+
 def test_ties_of_weight_fall_to_the_candidates_rank(spark):
     rows = [("a", "s", "memory", "f", "memory", "x", "related_to", 0.5, "", 1.0, 2), ("b", "s", "memory", "f", "memory", "y", "related_to", 0.5, "", 1.0, 1)]
     edges = spark.createDataFrame(rows, EDGE + ", rank int")

@@ -64,6 +64,21 @@ def test_bm25_matches_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_best_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    rnd = random.Random(2)
+    said = lambda n: " ".join(rnd.choice(["red", "blue", "fish", "boat", "世", "界", "gate", "Gate"]) for _ in range(rnd.randrange(n)))
+    docs = [("g" if i % 4 else "h", f"d{i}", said(9)) for i in range(90)] + [("g", "none", None), ("k", "alone", "red")]
+    docs += [(g, f"{i}x", t) for g, i, t in docs[:30]]  # ties
+    queries = [("g" if i % 3 else "h", f"q{i}", said(12)) for i in range(25)] + [("g", "empty", None), ("nowhere", "q", "red")]
+    asked, held = spark.createDataFrame(queries, "grp string, query_id string, text string"), spark.createDataFrame(docs, "grp string, doc_id string, text string")
+    want = sorted(tuple(x) for x in r.ranked(r.bm25(asked, held), 7).select("query_id", "doc_id", "score", "rank").collect())
+    for block, part in ((r.BLOCK, r.ASKED_BLOCK), (8, 3)):
+        monkeypatch.setattr(r, "BLOCK", block)
+        monkeypatch.setattr(r, "ASKED_BLOCK", part)
+        assert sorted(tuple(x) for x in r.bm25_best(asked, r.word_blocks(held), 7).select("query_id", "doc_id", "score", "rank").collect()) == want
+    assert len(want) > 100
+
+
 def test_index_maintenance(spark):
     kind = "ref_doc string, text string, updated_at double"
     index = spark.createDataFrame([("a", "x", 1.0), ("b", "x", None), ("c", "x", 3.0)], kind)
