@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest import checkpoints
 from palimpsest.functions import text
 from palimpsest.operators import flows, graph, retrieval, stats, workers
+from palimpsest.plans import repair
 from palimpsest.sources.snapshots import BucketedSnapshots, Snapshots, index_states
 
 MEMORY = "memory_space string, memory_id string, entity_key string, title string, summary string, content string, confidence double, salience double, status string, latest_source_observation_id string, metadata string, created_at double, updated_at double"
@@ -265,3 +266,12 @@ def test_candidates_of_other_entities(spark):
     edges, obs = spark.createDataFrame([], EDGE), spark.createDataFrame([], "observation_id string, memory_space string, summary string, content string")
     frontier = spark.createDataFrame([("r1", "s", "e1", "m1"), ("r9", "s", "e9", "m4")], "request string, memory_space string, anchor string, memory_id string")
     assert [(r.request, r.candidate_id) for r in flows.related_candidates(frontier, m, e, edges, obs).collect()] == [("r1", "m3")]
+
+
+def test_a_repair_is_planned_in_small_steps(spark):
+    e = spark.createDataFrame([entity("e1", "ann lee"), entity("e2", "bob ray")], ENTITY)
+    m = spark.createDataFrame([memory("m1", "e1", "the red bridge was closed"), memory("m2", "e2", "ann lee says the red bridge was closed"), memory("m3", "e2", "ann lee likes lunch")], MEMORY)
+    made = repair.cross_entity_repair(m, e, spark.createDataFrame([], EDGE))
+    assert [(r.from_id, r.to_id, r.edge_type) for r in made.collect()] == [("m1", "m2", "related_to")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert len(re.findall(r"\bJoin\b", plan)) < 20 and len(re.findall(r"\bWindow\b", plan)) < 5
